@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creaseline.functions import scaled_round
 from creaseline.operators import (
     archetypes, clones, form, lookup, matchups, phases, pressure, rollups, styles, summary, venues,
 )
@@ -91,7 +92,7 @@ def venue_phase_runs(spark, d):
 
 def early_economy(spark, d):
     early = venues.early_economy_from(rollups.match_rollup(fact(spark, d)))
-    return early.withColumn("early_econ", F.rint(F.col("early_econ") * 1e6) / 1e6)
+    return early.withColumn("early_econ", F.expr(scaled_round("early_econ", 6)))
 
 
 def surface_behavior_index(spark, d):
@@ -118,12 +119,12 @@ def pressure_performance(spark, d):
 
 def batter_matches(spark, d):
     per_match = form.batter_matches(fact(spark, d, "striker"))
-    return per_match.withColumn("innings_sr", F.rint(F.col("innings_sr") * 1e6) / 1e6)
+    return per_match.withColumn("innings_sr", F.expr(scaled_round("innings_sr", 6)))
 
 
 def bowler_matches(spark, d):
     per_match = form.bowler_matches(fact(spark, d, "bowler"))
-    return per_match.withColumn("economy", F.rint(F.col("economy") * 1e6) / 1e6)
+    return per_match.withColumn("economy", F.expr(scaled_round("economy", 6)))
 
 
 def recent_form(spark, d):
@@ -140,7 +141,7 @@ def _clone_features(spark, d, role):
 
 
 def _rounded(features: DataFrame, names: list[str]) -> DataFrame:
-    return features.withColumns({n: F.rint(F.col(n) * 1e6) / 1e6 for n in names})
+    return features.withColumns({n: F.expr(scaled_round(n, 6)) for n in names})
 
 
 def clone_features_batter(spark, d):
@@ -198,23 +199,22 @@ def ingest_deliveries(spark, d):
 def ingest_match_info(spark, d):
     """Information lines derived from each match, parsed back into one row per match."""
     info = testdata.match_info(spark, d)
-    number = F.col("match_id").cast("bigint")
-    runs = F.when(number % 5 == 0, "none").otherwise((number % 90).cast("string"))
-    lines = F.array(
-        F.lit("version,2.1.0"),
-        F.concat(F.lit("info,team,Home "), "match_id"),
-        F.concat(F.lit("info,team, Away "), "match_id"),
-        F.lit("info,city,Nowhere"),
-        F.concat(F.lit("info,city,"), "venue"),
-        F.concat(F.lit('info,venue,"'), "venue", F.lit(', Ground"')),
-        F.concat(F.lit("info,toss_decision,"), "toss_decision"),
-        F.concat(F.lit("info,winner,"), "winner"),
-        F.concat(F.lit("info,winner_runs,"), runs),
-        F.concat(F.lit("info,player_of_match,Surname, "), "match_id"),
-        F.concat(F.lit("info,registry,people,Somebody,"), "match_id"),
-        F.lit("info,umpire"),
-    )
-    parsed = parse_info(info.select("match_id", F.posexplode(lines).alias("at", "line")))
+    lines = """posexplode(array(
+        'version,2.1.0',
+        concat('info,team,Home ', match_id),
+        concat('info,team, Away ', match_id),
+        'info,city,Nowhere',
+        concat('info,city,', venue),
+        concat('info,venue,"', venue, ', Ground"'),
+        concat('info,toss_decision,', toss_decision),
+        concat('info,winner,', winner),
+        concat('info,winner_runs,',
+               IF(CAST(match_id AS BIGINT) % 5 = 0, 'none',
+                  CAST(CAST(match_id AS BIGINT) % 90 AS STRING))),
+        concat('info,player_of_match,Surname, ', match_id),
+        concat('info,registry,people,Somebody,', match_id),
+        'info,umpire')) AS (at, line)"""
+    parsed = parse_info(info.selectExpr("match_id", lines))
     return _nullable_counts(
         parsed.withColumn("teams", F.array_join("teams", "|")), ["winner_runs", "winner_wickets"]
     )

@@ -1,13 +1,18 @@
-"""Column expressions: coercion, guarded arithmetic, rounding and rate metrics."""
+"""Expressions: coercion, guarded arithmetic, rounding and rate metrics.
+
+Each function takes and returns SQL text, to be used with `expr`, `selectExpr`, `filter` or SQL. A
+whole projection then reaches the JVM in a few calls, and stays in whole-stage codegen.
+"""
 
 from creaseline.functions.numeric import (
-    half_even, number, safe_div, scaled_round, to_number_or_zero, wilson_lower,
+    double, half_even, number, number_or_zero, safe_div, scaled_round, whole_number, wilson_lower,
 )
 from creaseline.functions.rates import (
-    batting_average, batting_measures, batting_rates, percent, per_over, strike_rate,
+    BATTING_MEASURES, BATTING_RATES, batting_average, per_over, percent, strike_rate,
 )
 
 __all__ = [
-    "batting_average", "batting_measures", "batting_rates", "half_even", "number", "per_over",
-    "percent", "safe_div", "scaled_round", "strike_rate", "to_number_or_zero", "wilson_lower",
+    "BATTING_MEASURES", "BATTING_RATES", "batting_average", "double", "half_even", "number",
+    "number_or_zero", "per_over", "percent", "safe_div", "scaled_round", "strike_rate",
+    "whole_number", "wilson_lower",
 ]

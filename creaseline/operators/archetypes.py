@@ -7,8 +7,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creaseline.functions import double
 from creaseline.operators.clones import standardised
 from creaseline.operators.phases import NO_WICKET
+from creaseline.operators.rollups import summed
 from creaseline.params import Params
 from creaseline.schema import TABLE_COLUMNS
 from creaseline.sources.storage import written
@@ -31,19 +33,18 @@ _CONCURRENT_FITS = 4
 
 def archetype_features(phase_stats: DataFrame) -> DataFrame:
     """Plain means over a bowler's retained, already rounded phase rows."""
-    phase, economy = F.col("phase"), F.col("economy")
-
-    def economy_in(name):
-        return F.coalesce(F.avg(F.when(phase == name, economy)), F.lit(0.0))
-
-    sr = F.col("bowling_sr")
-    return phase_stats.groupBy("bowler").agg(
-        F.avg("economy").alias("c_economy"),
-        F.avg("dot_pct").alias("c_dot_pct"),
-        F.coalesce(F.avg(F.when(sr < NO_WICKET, sr)), F.lit(NO_WICKET)).alias("c_bowl_sr"),
-        economy_in("death").alias("c_death_econ"),
-        economy_in("powerplay").alias("c_pp_econ"),
-    )
+    def economy_in(phase):
+        return f"coalesce(avg(economy) FILTER (WHERE phase = '{phase}'), 0D)"
+
+    without_wicket = double(NO_WICKET)
+    strike = f"avg(bowling_sr) FILTER (WHERE bowling_sr < {without_wicket})"
+    return summed(phase_stats, ["bowler"], [
+        "avg(economy) AS c_economy",
+        "avg(dot_pct) AS c_dot_pct",
+        f"coalesce({strike}, {without_wicket}) AS c_bowl_sr",
+        f"{economy_in('death')} AS c_death_econ",
+        f"{economy_in('powerplay')} AS c_pp_econ",
+    ])
 
 
 def label_clusters(centroids: list[dict[str, float]]) -> list[str]:
@@ -92,10 +93,10 @@ def archetypes(phase_stats: DataFrame, params: Params = Params()) -> DataFrame:
     finally:
         points.unpersist()
     _, _, model = min(fits, key=lambda entry: entry[:2])
-    moments = career.agg(
-        *[F.avg(name).alias(f"{name}_mean") for name in FEATURES],
-        *[F.stddev_pop(name).alias(f"{name}_std") for name in FEATURES],
-    ).first()
+    moments = summed(career, [], [
+        *[f"avg({name}) AS {name}_mean" for name in FEATURES],
+        *[f"stddev_pop({name}) AS {name}_std" for name in FEATURES],
+    ]).first()
     centroids = [
         {
             name: float(centre[i]) * moments[f"{name}_std"] + moments[f"{name}_mean"]
@@ -113,7 +114,7 @@ def archetypes(phase_stats: DataFrame, params: Params = Params()) -> DataFrame:
 def attach_archetypes(phase_stats: DataFrame, labels: DataFrame) -> DataFrame:
     return (
         phase_stats.join(labels, "bowler", "left")
-        .withColumn("bowling_archetype", F.coalesce("bowling_archetype", F.lit(NO_LABEL)))
+        .fillna(NO_LABEL, "bowling_archetype")
         .select(*TABLE_COLUMNS["bowler_phase_stats"])
     )
 

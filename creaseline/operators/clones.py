@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from creaseline.functions import batting_average, per_over, percent, safe_div, strike_rate
 from creaseline.operators.neighbours import nearest
-from creaseline.operators.rollups import batter_phase_rollup, bowler_phase_rollup
+from creaseline.operators.rollups import batter_phase_rollup, bowler_phase_rollup, summed
 from creaseline.params import Params
 from creaseline.schema import PHASES
 
@@ -14,58 +14,47 @@ BOWLER_FEATURES = ["economy", "dot_pct", "wicket_rate", "pp_econ", "mid_econ", "
 _PHASE_PREFIX = dict(zip(PHASES, ("pp", "mid", "death")))
 
 
-def _by_phase(metric, suffix: str):
+def _by_phase(metric: str, suffix: str) -> list[str]:
     """One column per phase from the player's single row of that phase; 0.0 without one."""
     return [
-        F.coalesce(F.max(F.when(F.col("phase") == phase, metric)), F.lit(0.0))
-        .alias(f"{prefix}_{suffix}")
+        f"coalesce(max({metric}) FILTER (WHERE phase = '{phase}'), 0D) AS {prefix}_{suffix}"
         for phase, prefix in _PHASE_PREFIX.items()
     ]
 
 
 def batter_features_from(rollup: DataFrame, params: Params = Params()) -> DataFrame:
-    balls, runs, outs = F.col("balls"), F.col("runs"), F.col("outs")
-    return (
-        rollup.filter("striker is not null")
-        .groupBy(F.col("striker").alias("player"))
-        .agg(
-            F.sum("balls_faced").alias("balls"),
-            F.sum("runs_scored").alias("runs"),
-            F.sum("dismissals").alias("outs"),
-            F.sum("dot_balls").alias("dots"),
-            F.sum(F.col("fours") + F.col("sixes")).alias("boundaries"),
-            *_by_phase(strike_rate(F.col("runs_scored"), F.col("balls_faced")), "sr"),
-        )
-        .filter(balls >= params.clone_balls)
-        .withColumns({
-            "sr": strike_rate(runs, balls),
-            "average": batting_average(runs, outs, digits=None),
-            "dot_pct": percent(F.col("dots"), balls),
-            "boundary_pct": percent(F.col("boundaries"), balls),
-        })
-        .select("player", *BATTER_FEATURES)
+    sums = summed(rollup.filter("striker IS NOT NULL"), ["striker"], [
+        "sum(balls_faced) AS balls",
+        "sum(runs_scored) AS runs",
+        "sum(dismissals) AS outs",
+        "sum(dot_balls) AS dots",
+        "sum(fours + sixes) AS boundaries",
+        *_by_phase(strike_rate("runs_scored", "balls_faced"), "sr"),
+    ])
+    return sums.filter(f"balls >= {params.clone_balls}").selectExpr(
+        "striker AS player",
+        f"{strike_rate('runs', 'balls')} AS sr",
+        f"{batting_average('runs', 'outs', digits=None)} AS average",
+        f"{percent('dots', 'balls')} AS dot_pct",
+        f"{percent('boundaries', 'balls')} AS boundary_pct",
+        "pp_sr", "mid_sr", "death_sr",
     )
 
 
 def bowler_features_from(rollup: DataFrame, params: Params = Params()) -> DataFrame:
-    balls = F.col("balls")
-    return (
-        rollup.filter("bowler is not null")
-        .groupBy(F.col("bowler").alias("player"))
-        .agg(
-            F.sum("balls_bowled").alias("balls"),
-            F.sum("runs_conceded").alias("runs"),
-            F.sum("all_wickets").alias("wickets"),
-            F.sum("dot_balls").alias("dots"),
-            *_by_phase(per_over(F.col("runs_conceded"), F.col("balls_bowled")), "econ"),
-        )
-        .filter(balls >= params.clone_balls)
-        .withColumns({
-            "economy": per_over(F.col("runs"), balls),
-            "dot_pct": percent(F.col("dots"), balls),
-            "wicket_rate": percent(F.col("wickets"), balls),
-        })
-        .select("player", *BOWLER_FEATURES)
+    sums = summed(rollup.filter("bowler IS NOT NULL"), ["bowler"], [
+        "sum(balls_bowled) AS balls",
+        "sum(runs_conceded) AS runs",
+        "sum(all_wickets) AS wickets",
+        "sum(dot_balls) AS dots",
+        *_by_phase(per_over("runs_conceded", "balls_bowled"), "econ"),
+    ])
+    return sums.filter(f"balls >= {params.clone_balls}").selectExpr(
+        "bowler AS player",
+        f"{per_over('runs', 'balls')} AS economy",
+        f"{percent('dots', 'balls')} AS dot_pct",
+        f"{percent('wickets', 'balls')} AS wicket_rate",
+        "pp_econ", "mid_econ", "death_econ",
     )
 
 
@@ -77,18 +66,17 @@ def clone_features(fact: DataFrame, role: str, params: Params = Params()) -> Dat
 
 def standardised(features: DataFrame, names: list[str], role: str) -> DataFrame:
     """(role, player, z): population z-scores; a feature without spread becomes 0."""
-    moments = features.agg(
-        *[F.avg(name).alias(f"{name}_mean") for name in names],
-        *[F.stddev_pop(name).alias(f"{name}_std") for name in names],
-    ).withColumn("role", F.lit(role))
-    z = [
-        safe_div(F.col(name) - F.col(f"{name}_mean"), F.col(f"{name}_std")) for name in names
-    ]
+    moments = summed(features, [], [
+        *[f"avg({name}) AS {name}_mean" for name in names],
+        *[f"stddev_pop({name}) AS {name}_std" for name in names],
+        f"'{role}' AS role",
+    ])
+    z = ", ".join(safe_div(f"{name} - {name}_mean", f"{name}_std") for name in names)
     # The moments are one row by construction.
     return (
-        features.withColumn("role", F.lit(role))
+        features.selectExpr("*", f"'{role}' AS role")
         .join(F.broadcast(moments), "role")
-        .select("role", "player", F.array(*z).alias("z"))
+        .selectExpr("role", "player", f"array({z}) AS z")
     )
 
 
@@ -97,12 +85,11 @@ def unit_vectors(features: DataFrame, names: list[str], role: str) -> DataFrame:
 
     A player exactly at the mean has no direction, hence no similarity, and is left out.
     """
-    squares = F.aggregate("z", F.lit(0.0), lambda total, x: total + x * x)
     return (
         standardised(features, names, role)
-        .withColumn("norm", F.sqrt(squares))
+        .selectExpr("*", "sqrt(aggregate(z, 0D, (total, x) -> total + x * x)) AS norm")
         .filter("norm > 0")
-        .select("role", "player", F.transform("z", lambda x: x / F.col("norm")).alias("unit"))
+        .selectExpr("role", "player", "transform(z, x -> x / norm) AS unit")
     )
 
 

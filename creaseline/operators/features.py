@@ -1,51 +1,47 @@
-"""Delivery flags and derived fields (one narrow projection, no shuffle)."""
+"""Delivery flags and derived fields (narrow projections, no shuffle)."""
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from creaseline.functions.numeric import to_number_or_zero
+from creaseline.functions import number_or_zero
 from creaseline.schema import NOT_CHARGED
 
-_INT_RANGE = (-2147483648.0, 2147483647.0)
+_NOT_CHARGED = ", ".join(f"'{kind}'" for kind in NOT_CHARGED)
 
 
-def over_number(ball: Column) -> Column:
-    """Whole overs in front of the dot of `over.ball`; 0 where that is not a number."""
-    over = to_number_or_zero(F.split_part(ball, F.lit("."), F.lit(1)))
-    low, high = _INT_RANGE
-    return F.greatest(F.lit(low), F.least(F.lit(high), over)).cast("int")
+def over_number(ball: str) -> str:
+    """Whole overs in front of the dot of `over.ball`; 0 where that is not a number.
 
+    Whole numbers parse directly; the general form is only evaluated for anything else.
+    """
+    over = f"substring_index({ball}, '.', 1)"
+    clamped = f"greatest(-2147483648D, least(2147483647D, {number_or_zero(over)}))"
+    return f"coalesce(try_cast({over} AS INT), CAST({clamped} AS INT))"
 
-def phase_of(over: Column) -> Column:
-    """Powerplay up to over 5, middle up to 14, death up to 100; anything else is the text 'nan'."""
-    return (
-        F.when((over < 0) | (over > 100), F.lit("nan"))
-        .when(over <= 5, F.lit("powerplay"))
-        .when(over <= 14, F.lit("middle"))
-        .otherwise(F.lit("death"))
-    )
+
+# Powerplay up to over 5, middle up to 14, death up to 100; anything else is the text 'nan'.
+_PHASE = """
+CASE WHEN over_int < 0 OR over_int > 100 THEN 'nan'
+     WHEN over_int <= 5 THEN 'powerplay'
+     WHEN over_int <= 14 THEN 'middle'
+     ELSE 'death' END"""
 
 
 def enrich(deliveries: DataFrame) -> DataFrame:
     """Add the boolean flags, `runs_conceded`, `over_int` and `phase` to typed deliveries."""
-    wicket = F.coalesce(F.col("wicket_type"), F.lit(""))
-    bat = F.col("runs_off_bat")
-    return (
-        deliveries
-        .withColumns({
-            "is_wide": F.col("wides") > 0,
-            "is_noball": F.col("noballs") > 0,
-            "is_legal": ~(F.col("wides") > 0),
-            "is_wicket": wicket.rlike(r"(?U)\S"),
-            "runs_conceded": bat + F.col("wides") + F.col("noballs") + F.col("byes")
-            + F.col("legbyes"),
-            "over_int": F.coalesce(over_number(F.col("ball")), F.lit(0)),
-        })
-        .withColumns({
-            "is_batter_out": F.col("is_wicket") & ~wicket.isin(NOT_CHARGED),
-            "is_boundary4": (bat == 4) & F.col("is_legal"),
-            "is_boundary6": (bat == 6) & F.col("is_legal"),
-            "is_dot": F.col("is_legal") & (bat == 0) & (F.col("extras") == 0),
-            "phase": phase_of(F.col("over_int")),
-        })
+    return deliveries.selectExpr(
+        "*",
+        "wides > 0 AS is_wide",
+        "noballs > 0 AS is_noball",
+        "NOT wides > 0 AS is_legal",
+        # Blank text is no wicket; the pattern is only tried on text that is not empty.
+        r"coalesce(wicket_type != '' AND wicket_type RLIKE r'(?U)\S', false) AS is_wicket",
+        "runs_off_bat + wides + noballs + byes + legbyes AS runs_conceded",
+        f"{over_number('ball')} AS over_int",
+    ).selectExpr(
+        "*",
+        f"is_wicket AND wicket_type NOT IN ({_NOT_CHARGED}) AS is_batter_out",
+        "is_legal AND runs_off_bat = 4 AS is_boundary4",
+        "is_legal AND runs_off_bat = 6 AS is_boundary6",
+        "is_legal AND runs_off_bat = 0 AND extras = 0 AS is_dot",
+        f"{_PHASE} AS phase",
     )

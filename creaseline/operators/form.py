@@ -1,11 +1,10 @@
 """Recent form: the last matches of each player and the trend within them."""
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from creaseline.functions import half_even, per_over, strike_rate
+from creaseline.functions import double, half_even, per_over, strike_rate
+from creaseline.operators.rollups import summed
 from creaseline.params import Params
-from creaseline.schema import TABLE_COLUMNS
 
 # How far the later half must move from the earlier half, and the shortest series
 # that is judged at all.
@@ -13,32 +12,40 @@ BATTER_RISE, BATTER_FALL = 1.15, 0.85
 BOWLER_CHEAPER, BOWLER_DEARER = 0.90, 1.10
 TREND_MATCHES = 4
 
+_TREND = f"""
+CASE WHEN sample_matches < {TREND_MATCHES} THEN 'stable'
+     WHEN role = 'batter' AND later > earlier * {double(BATTER_RISE)} THEN 'improving'
+     WHEN role = 'batter' AND later < earlier * {double(BATTER_FALL)} THEN 'declining'
+     WHEN role = 'bowler' AND later < earlier * {double(BOWLER_CHEAPER)} THEN 'improving'
+     WHEN role = 'bowler' AND later > earlier * {double(BOWLER_DEARER)} THEN 'declining'
+     ELSE 'stable' END"""
+
 
 def batter_matches(fact: DataFrame) -> DataFrame:
     """(player, match_id): runs, strike rate and outs over legal deliveries."""
-    return (
-        fact.filter("is_legal and striker is not null and match_id is not null")
-        .groupBy(F.col("striker").alias("player"), "match_id")
-        .agg(
-            F.sum("runs_off_bat").alias("innings_runs"),
-            F.count(F.lit(1)).alias("balls_faced"),
-            F.count_if("is_batter_out").alias("outs"),
-        )
-        .withColumn("innings_sr", strike_rate(F.col("innings_runs"), F.col("balls_faced")))
+    known = fact.filter("is_legal AND striker IS NOT NULL AND match_id IS NOT NULL")
+    sums = summed(known, ["striker", "match_id"], [
+        "sum(runs_off_bat) AS innings_runs",
+        "count(1) AS balls_faced",
+        "count_if(is_batter_out) AS outs",
+    ])
+    return sums.selectExpr(
+        "striker AS player", "match_id", "innings_runs", "balls_faced", "outs",
+        f"{strike_rate('innings_runs', 'balls_faced')} AS innings_sr",
     )
 
 
 def bowler_matches(fact: DataFrame) -> DataFrame:
     """(player, match_id): runs, economy and wickets over all deliveries."""
-    return (
-        fact.filter("bowler is not null and match_id is not null")
-        .groupBy(F.col("bowler").alias("player"), "match_id")
-        .agg(
-            F.sum("runs_conceded").alias("runs_conceded"),
-            F.count_if("is_legal").alias("balls_bowled"),
-            F.count_if("is_wicket").alias("wickets"),
-        )
-        .withColumn("economy", per_over(F.col("runs_conceded"), F.col("balls_bowled")))
+    known = fact.filter("bowler IS NOT NULL AND match_id IS NOT NULL")
+    sums = summed(known, ["bowler", "match_id"], [
+        "sum(runs_conceded) AS runs_conceded",
+        "count_if(is_legal) AS balls_bowled",
+        "count_if(is_wicket) AS wickets",
+    ])
+    return sums.selectExpr(
+        "bowler AS player", "match_id", "runs_conceded", "balls_bowled", "wickets",
+        f"{per_over('runs_conceded', 'balls_bowled')} AS economy",
     )
 
 
@@ -51,49 +58,45 @@ def recent_form_from(
     many matches sends only the last few of each task. The final aggregate keeps the window's
     partitioning.
     """
-    per_match = batters.select(
-        F.lit("batter").alias("role"), "player", "match_id",
-        "innings_runs", "innings_sr", "outs", F.col("innings_runs").alias("measure"),
+    per_match = batters.selectExpr(
+        "'batter' AS role", "player", "match_id",
+        "innings_runs", "innings_sr", "outs", "innings_runs AS measure",
     ).unionByName(
-        bowlers.select(
-            F.lit("bowler").alias("role"), "player", "match_id",
-            "economy", "wickets", F.col("economy").alias("measure"),
+        bowlers.selectExpr(
+            "'bowler' AS role", "player", "match_id", "economy", "wickets", "economy AS measure"
         ),
         allowMissingColumns=True,
     )
-    player = Window.partitionBy("role", "player")
     recent = (
         per_match
-        .withColumn("back", F.row_number().over(player.orderBy(F.desc("match_id"))))
-        .filter(F.col("back") <= params.form_matches)
-        .withColumn("size", F.count(F.lit(1)).over(player))
-    )
-    # The earlier half is the first floor(size / 2) matches in ascending order.
-    later_half = F.col("back") <= F.col("size") - F.floor(F.col("size") / 2)
-    later, earlier = F.col("later"), F.col("earlier")
-    batting = F.col("role") == "batter"
-    trend = (
-        F.when(F.col("sample_matches") < TREND_MATCHES, "stable")
-        .when(batting & (later > earlier * BATTER_RISE), "improving")
-        .when(batting & (later < earlier * BATTER_FALL), "declining")
-        .when(~batting & (later < earlier * BOWLER_CHEAPER), "improving")
-        .when(~batting & (later > earlier * BOWLER_DEARER), "declining")
-        .otherwise("stable")
-    )
-    return (
-        recent.groupBy("role", "player")
-        .agg(
-            half_even(F.avg("innings_runs"), 2).alias("recent_avg_runs"),
-            half_even(F.avg("innings_sr"), 2).alias("recent_avg_sr"),
-            half_even(F.avg("outs"), 3).alias("recent_dismissal_rate"),
-            half_even(F.avg("economy"), 2).alias("recent_economy"),
-            half_even(F.avg("wickets"), 3).alias("recent_wickets_per_match"),
-            F.avg(F.when(later_half, F.col("measure"))).alias("later"),
-            F.avg(F.when(~later_half, F.col("measure"))).alias("earlier"),
-            F.count(F.lit(1)).alias("sample_matches"),
+        .selectExpr(
+            "*",
+            "row_number() OVER (PARTITION BY role, player ORDER BY match_id DESC) AS back",
         )
-        .withColumn("form_trend", trend)
-        .select(*TABLE_COLUMNS["recent_form"])
+        .filter(f"back <= {params.form_matches}")
+        .selectExpr("*", "count(1) OVER (PARTITION BY role, player) AS size")
+        # The earlier half is the first floor(size / 2) matches in ascending order.
+        .selectExpr("*", "back <= size - floor(size / 2) AS in_later_half")
+    )
+    means = summed(recent, ["role", "player"], [
+        "avg(innings_runs) AS runs",
+        "avg(innings_sr) AS sr",
+        "avg(outs) AS outs",
+        "avg(economy) AS economy",
+        "avg(wickets) AS wickets",
+        "avg(measure) FILTER (WHERE in_later_half) AS later",
+        "avg(measure) FILTER (WHERE NOT in_later_half) AS earlier",
+        "count(1) AS sample_matches",
+    ])
+    return means.selectExpr(
+        "player", "role",
+        f"{half_even('runs', 2)} AS recent_avg_runs",
+        f"{half_even('sr', 2)} AS recent_avg_sr",
+        f"{half_even('outs', 3)} AS recent_dismissal_rate",
+        f"{half_even('economy', 2)} AS recent_economy",
+        f"{half_even('wickets', 3)} AS recent_wickets_per_match",
+        f"{_TREND} AS form_trend",
+        "sample_matches",
     )
 
 

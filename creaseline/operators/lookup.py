@@ -35,28 +35,21 @@ def matchup_with_fallback(
     """
     pair = ["batter", "bowler"]
     asked = requests.select(*pair).distinct()
-    direct = asked.join(matchups, pair, "left")
-    hits = direct.filter("balls_faced is not null").select(
-        *pair, F.col("batter").alias("source_batter"), F.lit(1.0).alias("similarity"),
-        F.lit(0).alias("clone_rank"), *_MEASURES,
+    hits = asked.join(matchups, pair).selectExpr(
+        *pair, "batter AS source_batter", "1D AS similarity", "0 AS clone_rank", *_MEASURES
     )
-    twins = clones.filter(F.col("role") == "batter").select(
-        F.col("player").alias("batter"), F.col("clone").alias("source_batter"),
-        "similarity", "clone_rank",
+    twins = clones.filter("role = 'batter'").selectExpr(
+        "player AS batter", "clone AS source_batter", "similarity", "clone_rank"
     )
-    stand_ins = matchups.select(
-        F.col("batter").alias("source_batter"), "bowler", *_MEASURES
-    )
-    found = F.struct("clone_rank", "source_batter", "similarity", *_MEASURES)
+    stand_ins = matchups.selectExpr("batter AS source_batter", "bowler", *_MEASURES)
+    found = ", ".join(["clone_rank", "source_batter", "similarity", *_MEASURES])
     misses = (
-        asked.join(matchups.select(*pair), pair, "left_anti")
+        asked.join(matchups, pair, "left_anti")
         .join(twins, "batter", "left")
         .join(stand_ins, ["source_batter", "bowler"], "left")
         .groupBy(*pair)
-        .agg(F.min(F.when(F.col("balls_faced").isNotNull(), found)).alias("best"))
-        .select(*pair, *[
-            F.col(f"best.{name}").alias(name)
-            for name in ("source_batter", "similarity", "clone_rank", *_MEASURES)
-        ])
+        .agg(F.expr(f"min(struct({found})) FILTER (WHERE balls_faced IS NOT NULL) AS best"))
+        .select(*pair, "best.source_batter", "best.similarity", "best.clone_rank",
+                *[f"best.{name}" for name in _MEASURES])
     )
     return hits.unionByName(misses)

@@ -1,48 +1,36 @@
 """Batter against bowler, batter by phase, batter against bowling style."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from creaseline.functions import batting_rates, wilson_lower
-from creaseline.operators.rollups import batter_phase_rollup, pair_rollup
+from creaseline.functions import BATTING_RATES, wilson_lower
+from creaseline.operators.rollups import batter_phase_rollup, pair_rollup, summed
 from creaseline.operators.styles import bowler_styles
 from creaseline.params import Params
-from creaseline.schema import TABLE_COLUMNS
 
 _SUMS = ["balls_faced", "runs_scored", "dismissals", "dot_balls", "fours", "sixes"]
-
-
-def _with_rates(sums: DataFrame, table: str) -> DataFrame:
-    confidence = wilson_lower(F.col("dismissals"), F.col("balls_faced"))
-    return sums.select(
-        "*", *batting_rates(), confidence.alias("dismissal_rate_wilson_lower")
-    ).select(*TABLE_COLUMNS[table])
+_CONFIDENCE = f"{wilson_lower('dismissals', 'balls_faced')} AS dismissal_rate_wilson_lower"
 
 
 def matchups_from(pairs: DataFrame, params: Params = Params()) -> DataFrame:
-    kept = pairs.filter(
-        F.col("striker").isNotNull() & F.col("bowler").isNotNull()
-        & (F.col("balls_faced") >= params.h2h_balls)
-    )
-    return _with_rates(kept.withColumnRenamed("striker", "batter"), "matchups_1v1")
+    return pairs.filter(
+        f"striker IS NOT NULL AND bowler IS NOT NULL AND balls_faced >= {params.h2h_balls}"
+    ).selectExpr("striker AS batter", "bowler", *_SUMS, *BATTING_RATES, _CONFIDENCE)
 
 
 def matchups(fact: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per (batter, bowler) with enough balls between them."""
-    return matchups_from(pair_rollup(fact.filter("striker is not null and bowler is not null")),
-                         params)
+    return matchups_from(pair_rollup(fact), params)
 
 
 def batter_phase_from(rollup: DataFrame, params: Params = Params()) -> DataFrame:
-    kept = rollup.filter(
-        F.col("striker").isNotNull() & (F.col("balls_faced") >= params.batter_balls)
-    )
-    return _with_rates(kept.withColumnRenamed("striker", "batter"), "batter_phase_stats")
+    return rollup.filter(
+        f"striker IS NOT NULL AND balls_faced >= {params.batter_balls}"
+    ).selectExpr("striker AS batter", "phase", *_SUMS, *BATTING_RATES, _CONFIDENCE)
 
 
 def batter_phase(fact: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per (batter, phase) with enough balls."""
-    return batter_phase_from(batter_phase_rollup(fact.filter("striker is not null")), params)
+    return batter_phase_from(batter_phase_rollup(fact), params)
 
 
 def batter_vs_style_from(
@@ -53,15 +41,17 @@ def batter_vs_style_from(
     Balls of an unnamed bowler count as style 'unknown'.
     """
     styled = (
-        pairs.filter("striker is not null")
+        pairs.filter("striker IS NOT NULL")
         .join(styles.select("bowler", "bowling_style"), "bowler", "left")
-        .withColumn("bowling_style", F.coalesce("bowling_style", F.lit("unknown")))
+        .selectExpr(
+            "striker AS batter", "coalesce(bowling_style, 'unknown') AS bowling_style", *_SUMS
+        )
     )
-    sums = styled.groupBy("striker", "bowling_style").agg(
-        *[F.sum(name).alias(name) for name in _SUMS]
+    return (
+        summed(styled, ["batter", "bowling_style"], [f"sum({name}) AS {name}" for name in _SUMS])
+        .filter(f"balls_faced >= {params.batter_balls}")
+        .selectExpr("batter", "bowling_style", *_SUMS, *BATTING_RATES)
     )
-    kept = sums.filter(F.col("balls_faced") >= params.batter_balls)
-    return _with_rates(kept.withColumnRenamed("striker", "batter"), "batter_vs_bowling_style")
 
 
 def batter_vs_style(fact: DataFrame, params: Params = Params()) -> DataFrame:

@@ -1,7 +1,8 @@
 """Exact grouped median whose work stays spread out when one group holds most of the rows."""
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from creaseline.operators.rollups import summed
 
 BUCKETS = 128
 
@@ -14,43 +15,37 @@ def grouped_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     bucket counts tell which bucket holds the middle ranks. Only that bucket's distinct values are
     ordered. The sketch decides where the cuts lie, never the answer.
     """
-    counted = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"),
-        F.sum("_n").alias("_total"),
-    )
-    placed = counted.join(cuts, keys).select(
-        *keys, value, "_n", "_total",
-        F.size(F.filter("_cuts", lambda cut: cut < F.col(value))).alias("_bucket"),
+    key = ", ".join(keys)
+    shares = ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS))
+    counted = summed(rows.filter(f"{value} IS NOT NULL"), [*keys, value], ["count(1) AS _n"])
+    cuts = summed(counted, keys, [
+        f"percentile_approx({value}, array({shares}), 1000) AS _cuts", "sum(_n) AS _total",
+    ])
+    placed = counted.join(cuts, keys).selectExpr(
+        *keys, value, "_n",
+        "(_total - 1) DIV 2 AS _low", "_total DIV 2 AS _high",
+        f"size(filter(_cuts, cut -> cut < {value})) AS _bucket",
     )
-    low = F.floor((F.col("_total") - 1) / 2)
-    high = F.floor(F.col("_total") / 2)
-
-    def middle(order, *within):
-        """Rows whose rank range [before, before + _n) holds one of the middle ranks."""
-        running = Window.partitionBy(*keys, *within).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return F.sum("_n").over(running) - F.col("_n")
-
+    # A row spans the ranks [_before, _before + _n).
+    holds_middle = "_before <= _high AND _before + _n > _low"
     buckets = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_n"), F.first("_total").alias("_total"))
-        .withColumn("_before", middle("_bucket"))
-        .filter((F.col("_before") <= high) & (F.col("_before") + F.col("_n") > low))
-        .select(*keys, "_bucket", "_before")
+        summed(placed, [*keys, "_bucket"], [
+            "sum(_n) AS _n", "max(_low) AS _low", "max(_high) AS _high",
+        ])
+        .selectExpr(
+            "*", f"sum(_n) OVER (PARTITION BY {key} ORDER BY _bucket) - _n AS _before"
+        )
+        .filter(holds_middle)
+        .selectExpr(*keys, "_bucket", "_before AS _start")
     )
-    start = F.col("_before") + F.col("_inside")
     ranked = (
         placed.join(buckets, [*keys, "_bucket"])
-        .withColumn("_inside", middle(value, "_bucket"))
-        .filter((start <= high) & (start + F.col("_n") > low))
+        .selectExpr(
+            "*",
+            f"_start + sum(_n) OVER (PARTITION BY {key}, _bucket ORDER BY {value}) - _n"
+            " AS _before",
+        )
+        .filter(holds_middle)
     )
     # At most two distinct values are left per group: those at the lower and the upper middle rank.
-    return ranked.groupBy(*keys).agg(
-        ((F.min(value) + F.max(value)) / 2).alias("median")
-    )
+    return summed(ranked, keys, [f"(min({value}) + max({value})) / 2 AS median"])

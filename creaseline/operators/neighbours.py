@@ -14,10 +14,12 @@ Every task compares one bounded slice of points with one bounded block and retur
 k + 1 per point. A population that fits one leaf is a single block.
 """
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,7 +258,7 @@ def nearest(vectors: DataFrame, k: int, leaf_size: int = 2048) -> DataFrame:
     return (
         vectors.join(best.select("role", "unit", "best"), ["role", "unit"])
         .select("role", "player", F.inline(ranked))
-        .withColumn("similarity", half_even(F.col("score"), 4))
+        .withColumn("similarity", F.expr(half_even("score", 4)))
         .select("player", "clone", "similarity", "clone_rank", "role")
     )
 
@@ -297,3 +299,7 @@ def _search_leaves(points: DataFrame, leaf_size: int, keep: int) -> DataFrame:
         F.transform("best", lambda pair: pair["clone"]).alias("clones"),
     )
     return found_own.unionByName(_compare(asking, points, blocks, slices, keep))
+
+
+# Tasks get these functions with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,23 +1,40 @@
 """Performance late in a chase of a large total."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from creaseline.functions import percent, safe_div, scaled_round, strike_rate
-from creaseline.operators.rollups import match_rollup
+from creaseline.operators.rollups import match_rollup, summed
 from creaseline.params import Params
 from creaseline.schema import TABLE_COLUMNS
 
+_PAIR_SUMS = [
+    "count(1) AS balls_faced",
+    "sum(runs_off_bat) AS bat_runs",
+    "sum(runs_conceded) AS ball_runs",
+    "count_if(is_batter_out) AS outs",
+    "count_if(is_wicket) AS wickets",
+    "count_if(is_boundary4) AS fours",
+    "count_if(is_boundary6) AS sixes",
+    "count_if(is_dot) AS dot_balls",
+]
 _SUMS = ["balls_faced", "runs_scored", "dismissals", "fours", "sixes", "dot_balls"]
+_SIDES = """
+inline(array(
+  struct('batter' AS role, striker AS player, bat_runs AS runs_scored, outs AS dismissals),
+  struct('bowler' AS role, bowler AS player, ball_runs AS runs_scored, wickets AS dismissals)))"""
+_RATES = [
+    f"{scaled_round(strike_rate('runs_scored', 'balls_faced'), 2)} AS strike_rate",
+    f"{scaled_round(percent('dot_balls', 'balls_faced'), 2)} AS dot_pct",
+    f"{scaled_round(percent('fours + sixes', 'balls_faced'), 2)} AS boundary_pct",
+    f"{scaled_round(safe_div('dismissals', 'balls_faced'), 4)} AS dismissal_rate",
+]
 
 
 def pressure_matches_from(matches: DataFrame, params: Params = Params()) -> DataFrame:
     """Matches whose first-innings total reaches the threshold."""
-    return (
-        matches.filter("match_id is not null and first_innings_runs is not null")
-        .groupBy("match_id")
-        .agg(F.sum("first_innings_runs").alias("fi_score"))
-        .filter(F.col("fi_score") >= params.pressure_total)
+    known = matches.filter("match_id IS NOT NULL AND first_innings_runs IS NOT NULL")
+    return summed(known, ["match_id"], ["sum(first_innings_runs) AS fi_score"]).filter(
+        f"fi_score >= {params.pressure_total}"
     )
 
 
@@ -34,49 +51,20 @@ def pressure_from(
     roles come out of the same sums.
     """
     chase = fact.filter(
-        (F.col("innings") == 2)
-        & (F.col("over_int") >= params.pressure_over)
-        & F.col("is_legal")
-        & F.col("match_id").isNotNull()
-    )
-    pairs = chase.groupBy("match_id", "striker", "bowler").agg(
-        F.count(F.lit(1)).alias("balls_faced"),
-        F.sum("runs_off_bat").alias("bat_runs"),
-        F.sum("runs_conceded").alias("ball_runs"),
-        F.count_if("is_batter_out").alias("outs"),
-        F.count_if("is_wicket").alias("wickets"),
-        F.count_if("is_boundary4").alias("fours"),
-        F.count_if("is_boundary6").alias("sixes"),
-        F.count_if("is_dot").alias("dot_balls"),
+        f"innings = 2 AND over_int >= {params.pressure_over} AND is_legal"
+        " AND match_id IS NOT NULL"
     )
-
-    def side(role, player, runs, dismissals):
-        return F.struct(
-            F.lit(role).alias("role"), F.col(player).alias("player"),
-            F.col(runs).alias("runs_scored"), F.col(dismissals).alias("dismissals"),
-        )
-
-    sides = F.array(
-        side("batter", "striker", "bat_runs", "outs"),
-        side("bowler", "bowler", "ball_runs", "wickets"),
+    sides = (
+        summed(chase, ["match_id", "striker", "bowler"], _PAIR_SUMS)
+        .join(qualifying.select("match_id"), "match_id", "left_semi")
+        .selectExpr("balls_faced", "fours", "sixes", "dot_balls", _SIDES)
+        .filter("player IS NOT NULL")
     )
-    balls = F.col("balls_faced")
+    scenario = f"inn2_over{params.pressure_over}+_target>={params.pressure_total}"
     return (
-        pairs.join(qualifying.select("match_id"), "match_id", "left_semi")
-        .select("balls_faced", "fours", "sixes", "dot_balls", F.inline(sides))
-        .filter("player is not null")
-        .groupBy("role", "player")
-        .agg(*[F.sum(name).alias(name) for name in _SUMS])
-        .filter(balls >= params.pressure_balls)
-        .withColumns({
-            "strike_rate": scaled_round(strike_rate(F.col("runs_scored"), balls), 2),
-            "dot_pct": scaled_round(percent(F.col("dot_balls"), balls), 2),
-            "boundary_pct": scaled_round(percent(F.col("fours") + F.col("sixes"), balls), 2),
-            "dismissal_rate": scaled_round(safe_div(F.col("dismissals"), balls), 4),
-            "pressure_scenario": F.lit(
-                f"inn2_over{params.pressure_over}+_target>={params.pressure_total}"
-            ),
-        })
+        summed(sides, ["role", "player"], [f"sum({name}) AS {name}" for name in _SUMS])
+        .filter(f"balls_faced >= {params.pressure_balls}")
+        .selectExpr("*", *_RATES, f"'{scenario}' AS pressure_scenario")
         .select(*TABLE_COLUMNS["pressure_performance"])
     )
 

@@ -1,10 +1,9 @@
 """Bowling style inferred from a bowler's statistical fingerprint."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from creaseline.functions import per_over, safe_div
-from creaseline.operators.rollups import bowler_phase_rollup
+from creaseline.functions import double, per_over, safe_div
+from creaseline.operators.rollups import bowler_phase_rollup, summed
 from creaseline.params import Params
 
 # Thresholds of the spin rule.
@@ -12,34 +11,28 @@ SPIN_MIN_MIDDLE_DOT_SHARE = 0.28
 SPIN_MAX_OPENING_SHARE = 0.22
 SPIN_MAX_MIDDLE_ECONOMY = 7.8
 
+_SPIN = (
+    f"({safe_div('mid_dots', 'mid_balls')}) > {double(SPIN_MIN_MIDDLE_DOT_SHARE)}"
+    f" AND ({safe_div('pp_balls', 'total_balls')}) < {double(SPIN_MAX_OPENING_SHARE)}"
+    f" AND ({per_over('mid_runs', 'mid_balls')}) < {double(SPIN_MAX_MIDDLE_ECONOMY)}"
+)
+
 
 def bowler_styles_from(rollup: DataFrame, params: Params = Params()) -> DataFrame:
     """Fingerprint and style per bowler, from the (bowler, phase) rollup (legal balls only)."""
-    middle = F.col("phase") == "middle"
-    prints = (
-        rollup.filter("bowler is not null")
-        .groupBy("bowler")
-        .agg(
-            F.sum("balls_bowled").alias("total_balls"),
-            F.sum("opening_balls").alias("pp_balls"),
-            F.sum(F.when(middle, F.col("balls_bowled")).otherwise(0)).alias("mid_balls"),
-            F.sum(F.when(middle, F.col("dot_balls")).otherwise(0)).alias("mid_dots"),
-            F.sum("legal_runs").alias("total_runs"),
-            F.sum(F.when(middle, F.col("legal_runs")).otherwise(0.0)).alias("mid_runs"),
-        )
-        .filter("total_balls > 0")
-    )
-    spin = (
-        (safe_div(F.col("mid_dots"), F.col("mid_balls")) > SPIN_MIN_MIDDLE_DOT_SHARE)
-        & (safe_div(F.col("pp_balls"), F.col("total_balls")) < SPIN_MAX_OPENING_SHARE)
-        & (per_over(F.col("mid_runs"), F.col("mid_balls")) < SPIN_MAX_MIDDLE_ECONOMY)
-    )
+    prints = summed(rollup.filter("bowler IS NOT NULL"), ["bowler"], [
+        "sum(balls_bowled) AS total_balls",
+        "sum(opening_balls) AS pp_balls",
+        "sum(IF(phase = 'middle', balls_bowled, 0)) AS mid_balls",
+        "sum(IF(phase = 'middle', dot_balls, 0)) AS mid_dots",
+        "sum(legal_runs) AS total_runs",
+        "sum(IF(phase = 'middle', legal_runs, 0D)) AS mid_runs",
+    ])
     style = (
-        F.when(F.col("total_balls") < params.bowler_balls, F.lit("unknown"))
-        .when(spin, F.lit("spin"))
-        .otherwise(F.lit("pace"))
+        f"CASE WHEN total_balls < {params.bowler_balls} THEN 'unknown'"
+        f" WHEN {_SPIN} THEN 'spin' ELSE 'pace' END AS bowling_style"
     )
-    return prints.withColumn("bowling_style", style)
+    return prints.filter("total_balls > 0").selectExpr("*", style)
 
 
 def bowler_styles(fact: DataFrame, params: Params = Params()) -> DataFrame:
@@ -52,7 +45,10 @@ def attach_styles(fact: DataFrame, styles: DataFrame) -> DataFrame:
     Spark broadcasts the styles only when they fit its size threshold; past it, adaptive execution
     splits the partitions of a bowler who holds a large share of the deliveries.
     """
-    return (
-        fact.join(styles.select("bowler", "bowling_style"), "bowler", "left")
-        .withColumn("bowling_style", F.coalesce("bowling_style", F.lit("unknown")))
+    joined = fact.join(
+        styles.selectExpr("bowler", "bowling_style AS known_style"), "bowler", "left"
+    )
+    return joined.selectExpr(
+        *[f"`{name}`" for name in fact.columns],
+        "coalesce(known_style, 'unknown') AS bowling_style",
     )

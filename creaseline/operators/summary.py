@@ -1,26 +1,24 @@
 """One-row summaries of a load and of the derived features."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from creaseline.operators.rollups import summed
 
 
 def load_summary(deliveries: DataFrame) -> DataFrame:
-    return deliveries.agg(
-        F.count(F.lit(1)).alias("deliveries"),
-        F.count_distinct("match_id").alias("matches"),
-        F.array_sort(F.collect_set("season")).alias("seasons"),
-    )
+    return summed(deliveries, [], [
+        "count(1) AS deliveries",
+        "count(DISTINCT match_id) AS matches",
+        "array_sort(collect_set(season)) AS seasons",
+    ])
 
 
 def feature_summary(fact: DataFrame) -> DataFrame:
-    def phase_count(phase):
-        return F.count_if(F.col("phase") == phase)
-
-    return fact.agg(
-        F.count_if("is_legal").alias("legal_deliveries"),
-        F.count_if("is_wicket").alias("wickets"),
-        phase_count("powerplay").alias("powerplay_deliveries"),
-        phase_count("middle").alias("middle_deliveries"),
-        phase_count("death").alias("death_deliveries"),
-        phase_count("nan").alias("no_phase_deliveries"),
-    )
+    return summed(fact, [], [
+        "count_if(is_legal) AS legal_deliveries",
+        "count_if(is_wicket) AS wickets",
+        "count_if(phase = 'powerplay') AS powerplay_deliveries",
+        "count_if(phase = 'middle') AS middle_deliveries",
+        "count_if(phase = 'death') AS death_deliveries",
+        "count_if(phase = 'nan') AS no_phase_deliveries",
+    ])

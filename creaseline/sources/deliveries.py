@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creaseline.functions.numeric import to_number_or_zero, whole_number
+from creaseline.functions import number_or_zero, whole_number
 from creaseline.schema import BLANK_COLUMNS, DELIVERY_COLUMNS, NUMERIC_COLUMNS
 from creaseline.sources.storage import written
 
@@ -226,17 +226,18 @@ def _named(present: list[str], layouts: dict[int, list[str]], layout: Column) ->
 
 def type_columns(rows: DataFrame) -> DataFrame:
     """Text columns to the typed layout; absent columns take their default."""
-    typed = {}
-    for name in DELIVERY_COLUMNS:
+
+    def typed(name):
         there = name in rows.columns
         if name in NUMERIC_COLUMNS:
-            value = to_number_or_zero(F.col(name)) if there else F.lit(0.0)
+            value = number_or_zero(name) if there else "0D"
         elif name in BLANK_COLUMNS:
-            value = F.coalesce(name, F.lit("")) if there else F.lit("")
+            value = f"coalesce({name}, '')" if there else "''"
         elif name == "innings":
-            value = whole_number(F.col(name)) if there else F.lit(None).cast("int")
+            value = whole_number(name) if there else "CAST(NULL AS INT)"
         else:
-            value = F.col(name) if there else F.lit(None).cast("string")
-        typed[name] = value.alias(name)
-    extra = [name for name in rows.columns if name not in typed]
-    return rows.select(*typed.values(), *[F.col(f"`{name}`") for name in extra])
+            value = name if there else "CAST(NULL AS STRING)"
+        return f"{value} AS {name}"
+
+    extra = [f"`{name}`" for name in rows.columns if name not in DELIVERY_COLUMNS]
+    return rows.selectExpr(*[typed(name) for name in DELIVERY_COLUMNS], *extra)

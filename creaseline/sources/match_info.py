@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.functions.numeric import whole_number
+from creaseline.functions import whole_number
 from creaseline.schema import MATCH_INFO_COLUMNS
 from creaseline.sources.deliveries import INFO_MARK, file_name, list_files
 
@@ -68,7 +68,7 @@ def parse_info(lines: DataFrame) -> DataFrame:
             hit = hit & valid.isNotNull()
         return F.max_by(F.when(hit, value), F.when(hit, F.col("at")))
 
-    count = whole_number(F.col("value"), "bigint")
+    count = F.expr(whole_number("value", "BIGINT"))
     teams = F.collect_list(F.when(F.col("key") == LIST_KEY, F.struct("at", F.col("joined"))))
     return (
         fields.groupBy("match_id")
