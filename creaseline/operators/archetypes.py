@@ -28,7 +28,7 @@ OTHER_LABEL = "allrounder"
 NO_LABEL = "unknown"
 
 _BOWLERS_PER_PARTITION = 50_000
-_CONCURRENT_FITS = 4
+_CONCURRENT_FITS = 8
 
 
 def archetype_features(phase_stats: DataFrame) -> DataFrame:

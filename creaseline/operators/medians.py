@@ -2,44 +2,42 @@
 
 from pyspark.sql import DataFrame
 
+from creaseline.functions import double
 from creaseline.operators.rollups import summed
 
-BUCKETS = 128
 
-
-def grouped_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def grouped_median(
+    rows: DataFrame, keys: list[str], value: str, width: float = 1 / 64
+) -> DataFrame:
     """(keys, median): the interpolating median of the non-NULL `value`s of each group.
 
-    The built-in exact median holds a whole group in one task. Here equal values are first counted,
-    an approximate quantile sketch cuts each group's value range into buckets of similar size, and
-    bucket counts tell which bucket holds the middle ranks. Only that bucket's distinct values are
-    ordered. The sketch decides where the cuts lie, never the answer.
+    The built-in exact median holds a whole group in one task. Here equal values are first counted
+    and the counts summed over buckets of the value range; these tell which bucket holds the middle
+    ranks, and only that bucket's distinct values are ordered. `width` sizes the buckets and never
+    changes the answer; a power of two keeps their order exact.
     """
     key = ", ".join(keys)
-    shares = ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS))
-    counted = summed(rows.filter(f"{value} IS NOT NULL"), [*keys, value], ["count(1) AS _n"])
-    cuts = summed(counted, keys, [
-        f"percentile_approx({value}, array({shares}), 1000) AS _cuts", "sum(_n) AS _total",
-    ])
-    placed = counted.join(cuts, keys).selectExpr(
-        *keys, value, "_n",
-        "(_total - 1) DIV 2 AS _low", "_total DIV 2 AS _high",
-        f"size(filter(_cuts, cut -> cut < {value})) AS _bucket",
+    counted = summed(
+        rows.filter(f"{value} IS NOT NULL").selectExpr(
+            *keys, value, f"floor({value} / {double(width)}) AS _bucket"
+        ),
+        [*keys, "_bucket", value], ["count(1) AS _n"],
     )
-    # A row spans the ranks [_before, _before + _n).
+    # A row spans the ranks [_before, _before + _n); the middle ranks are _low and _high.
     holds_middle = "_before <= _high AND _before + _n > _low"
     buckets = (
-        summed(placed, [*keys, "_bucket"], [
-            "sum(_n) AS _n", "max(_low) AS _low", "max(_high) AS _high",
-        ])
+        summed(counted, [*keys, "_bucket"], ["sum(_n) AS _n"])
         .selectExpr(
-            "*", f"sum(_n) OVER (PARTITION BY {key} ORDER BY _bucket) - _n AS _before"
+            "*",
+            f"sum(_n) OVER (PARTITION BY {key} ORDER BY _bucket) - _n AS _before",
+            f"sum(_n) OVER (PARTITION BY {key}) AS _total",
         )
+        .selectExpr("*", "(_total - 1) DIV 2 AS _low", "_total DIV 2 AS _high")
         .filter(holds_middle)
-        .selectExpr(*keys, "_bucket", "_before AS _start")
+        .selectExpr(*keys, "_bucket", "_before AS _start", "_low", "_high")
     )
     ranked = (
-        placed.join(buckets, [*keys, "_bucket"])
+        counted.join(buckets, [*keys, "_bucket"])
         .selectExpr(
             "*",
             f"_start + sum(_n) OVER (PARTITION BY {key}, _bucket ORDER BY {value}) - _n"

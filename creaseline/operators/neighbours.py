@@ -121,7 +121,8 @@ def _compare(asking: DataFrame, points: DataFrame, blocks, slices, keep: int) ->
     """
     part = F.xxhash64("lead")
     asking = (
-        _with_counts(asking, blocks, slices)
+        # Renaming gives columns of their own to a side that may be the points themselves.
+        _with_counts(asking.toDF(*asking.columns), blocks, slices)
         .withColumn("slice", F.pmod(part, "slices").cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
@@ -186,16 +187,17 @@ def _reach_column(boxes: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
     @F.pandas_udf("array<int>")
     def reach(role: pd.Series, leaf: pd.Series, unit: pd.Series, worst: pd.Series) -> pd.Series:
         out = np.empty(len(role), dtype=object)
-        units = np.vstack(unit.to_numpy())
+        units = unit.to_numpy()
         limit = 2.0 - 2.0 * worst.to_numpy() + PRUNE_SLACK
         roles, own = role.to_numpy(), leaf.to_numpy()
         for start in range(0, len(roles), 128):
             for name in set(roles[start:start + 128]):
                 at = start + np.nonzero(roles[start:start + 128] == name)[0]
                 leaves, low, high = boxes[name]
+                own_units = np.vstack(units[at])
                 gap = np.zeros((len(at), len(leaves)))
                 for axis in range(low.shape[1]):
-                    x = units[at, axis, None]
+                    x = own_units[:, axis, None]
                     gap += np.square(np.maximum(0.0, np.maximum(low[:, axis] - x,
                                                                 x - high[:, axis])))
                 near = (gap <= limit[at, None]) & (leaves[None, :] != own[at, None])
