@@ -25,7 +25,7 @@ def file_name() -> Column:
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, name, length) of every CSV file; contents are not read."""
+    """(path, name, length) of every CSV file that is not empty; contents are not read."""
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory)
         .select(
@@ -118,8 +118,10 @@ def _overlong_records(rows: DataFrame, files: DataFrame, width: int) -> DataFram
     seen = F.when(F.col(_CORRUPT).isNull(), F.lit(width)).otherwise(
         _separators(F.regexp_replace(_CORRUPT, _QUOTED, "")) + 1
     )
+    # Spark refuses a scan of the raw record alone, so the first field is looked at as well.
+    filled = F.col("_c0").isNotNull() | F.col(_CORRUPT).isNotNull()
     return (
-        rows.groupBy("path").agg(F.max(seen).alias("longest"))
+        rows.groupBy("path").agg(F.max(F.when(filled, seen)).alias("longest"))
         .join(files.select("path", "width"), "path")
         .filter("longest > width")
         .select("path", F.lit(True).alias("overlong"))

@@ -19,7 +19,7 @@ _OUTER_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def info_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Stems that have an information file, empty files included."""
+    """Stems that have an information file, even one without a usable line."""
     return (
         list_files(spark, directory)
         .filter(F.col("name").rlike(_SUFFIX))
