@@ -170,12 +170,13 @@ def bowling_archetypes(spark, d):
 
 
 def table_lookup(spark, d):
-    """Every supplier's death-over row, asked for in one batch."""
+    """Every supplier's death-over row, asked for in one batch of the stored table."""
+    table = written(bowler_phase_stats(spark, d), "bowler-phase")
     requests = spark.read.parquet(f"{d}/supplier.parquet").select(
         F.col("s_name").alias("bowler"), F.lit("death").alias("phase")
     )
     counts = ["balls_bowled", "wickets", "dot_balls", "fours_conceded", "sixes_conceded"]
-    return _nullable_counts(lookup.lookup(bowler_phase_stats(spark, d), requests), counts)
+    return _nullable_counts(lookup.lookup(table, requests), counts)
 
 
 def matchup_with_fallback(spark, d):

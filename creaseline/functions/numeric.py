@@ -16,8 +16,11 @@ def double(value: float) -> str:
 
 
 def number(text: str) -> str:
-    """Text to DOUBLE; NULL where the text is not a number."""
-    return f"CASE WHEN {text} RLIKE '{_NUMBER}' THEN try_cast({text} AS DOUBLE) END"
+    """Text to DOUBLE; NULL where the text is not a number. Only text with letters needs the guard."""
+    return (
+        f"CASE WHEN upper({text}) = lower({text}) OR {text} RLIKE '{_NUMBER}'"
+        f" THEN try_cast({text} AS DOUBLE) END"
+    )
 
 
 def number_or_zero(text: str) -> str:

@@ -217,7 +217,7 @@ def _plan_leaves(points: DataFrame, leaf_size: int) -> dict[str, Planes]:
         if depth:
             wanted = SAMPLE_PER_LEAF * 2 ** depth
             own = points.filter(F.col("role") == role).select("unit")
-            share = min(1.0, 2.0 * wanted / count)
+            share = min(1.0, wanted / count)
             sample = own.sample(share, seed=7).limit(2 * wanted).collect()
             if sample:
                 planes[role] = median_planes(np.array([row["unit"] for row in sample]), depth)

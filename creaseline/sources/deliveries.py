@@ -14,8 +14,8 @@ from creaseline.sources.storage import written
 
 INFO_MARK = "_info"
 _CORRUPT = "_corrupt"
-# A quoted field, doubled quotes included; removed before separators are counted.
-_QUOTED = '"(?:[^"]|"")*"'
+# Quoted text, removed before separators are counted; doubled quotes simply end and start one.
+_QUOTED = '"[^"]*"'
 
 
 def file_name() -> Column:
@@ -78,19 +78,19 @@ def _text_files(spark: SparkSession, directory: str) -> DataFrame:
         .filter(~F.col("name").contains(INFO_MARK) & (F.trim("value") != ""))
     )
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    quotes = _count(value, '"')
     bare = F.when(quotes > 0, F.regexp_replace(value, _QUOTED, "")).otherwise(value)
     return lines.groupBy("path", "name").agg(
         F.min_by("value", "at").alias("header"),
-        F.max(_separators(bare) + 1).alias("fields"),
+        F.max(_count(bare, ",") + 1).alias("fields"),
         F.sum(quotes).alias("quotes"),
         F.max(quotes % 2).alias("open_quotes"),
         F.max((~F.is_valid_utf8(value)).cast("int")).alias("bad_text"),
     )
 
 
-def _separators(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+def _count(text: Column, sign: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
 
 
 def _parse_header(line: str) -> list[str]:
@@ -116,7 +116,7 @@ def _raw_rows(spark, directory: str, width: int, spanning: bool) -> DataFrame:
 def _overlong_records(rows: DataFrame, files: DataFrame, width: int) -> DataFrame:
     """Paths of files with a record longer than their header, where records may span lines."""
     seen = F.when(F.col(_CORRUPT).isNull(), F.lit(width)).otherwise(
-        _separators(F.regexp_replace(_CORRUPT, _QUOTED, "")) + 1
+        _count(F.regexp_replace(_CORRUPT, _QUOTED, ""), ",") + 1
     )
     # Spark refuses a scan of the raw record alone, so the first field is looked at as well.
     filled = F.col("_c0").isNotNull() | F.col(_CORRUPT).isNotNull()
