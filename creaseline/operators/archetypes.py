@@ -1,6 +1,6 @@
 """Bowler archetypes: K-Means over career features, clusters named by their centroids."""
 
-from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +13,7 @@ from creaseline.operators.phases import NO_WICKET
 from creaseline.operators.rollups import summed
 from creaseline.params import Params
 from creaseline.schema import TABLE_COLUMNS
+from creaseline.sources.concurrent import concurrently
 from creaseline.sources.storage import written
 
 FEATURES = ["c_economy", "c_dot_pct", "c_bowl_sr", "c_death_econ", "c_pp_econ"]
@@ -28,7 +29,6 @@ OTHER_LABEL = "allrounder"
 NO_LABEL = "unknown"
 
 _BOWLERS_PER_PARTITION = 50_000
-_CONCURRENT_FITS = 8
 
 
 def archetype_features(phase_stats: DataFrame) -> DataFrame:
@@ -87,9 +87,9 @@ def archetypes(phase_stats: DataFrame, params: Params = Params()) -> DataFrame:
 
     try:
         points.count()
-        # Restarts are independent; a few at a time keep the cluster busy between small jobs.
-        with ThreadPoolExecutor(_CONCURRENT_FITS) as pool:
-            fits = list(pool.map(fit, range(params.kmeans_restarts)))
+        fits = concurrently(
+            points.sparkSession, [partial(fit, i) for i in range(params.kmeans_restarts)]
+        )
     finally:
         points.unpersist()
     _, _, model = min(fits, key=lambda entry: entry[:2])

@@ -1,5 +1,7 @@
 """All tables from one delivery fact, and the run from files to stored tables."""
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from creaseline.operators.archetypes import with_archetypes
@@ -20,6 +22,7 @@ from creaseline.operators.styles import bowler_styles_from
 from creaseline.operators.venues import venue_profiles_from
 from creaseline.params import Params
 from creaseline.plans.sink import write_tables
+from creaseline.sources.concurrent import concurrently
 from creaseline.sources.deliveries import read_deliveries
 from creaseline.sources.match_info import read_match_info
 from creaseline.sources.storage import written
@@ -33,22 +36,31 @@ def build_tables(
     Runs jobs: the four rollups are written once, after which only recent form and pressure scan
     the fact again. Store the fact first; every rollup reads it.
     """
-    pairs = written(pair_rollup(fact), "pairs")
-    batter_phases = written(batter_phase_rollup(fact), "batter-phases")
-    bowler_phases = written(bowler_phase_rollup(fact), "bowler-phases")
-    matches = written(match_rollup(fact), "matches")
+    rollups = {
+        "pairs": pair_rollup, "batter-phases": batter_phase_rollup,
+        "bowler-phases": bowler_phase_rollup, "matches": match_rollup,
+    }
+    spark = fact.sparkSession
+    pairs, batter_phases, bowler_phases, matches = concurrently(
+        spark, [partial(written, roll(fact), label) for label, roll in rollups.items()]
+    )
+    # Both of these run many small jobs while they plan.
+    bowler_table, clone_table = concurrently(spark, [
+        lambda: with_archetypes(bowler_phase_from(bowler_phases, params), params),
+        lambda: clones_from(
+            batter_features_from(batter_phases, params),
+            bowler_features_from(bowler_phases, params), params,
+        ),
+    ])
     styles = bowler_styles_from(bowler_phases, params)
     return {
         "matchups_1v1": matchups_from(pairs, params),
-        "bowler_phase_stats": with_archetypes(bowler_phase_from(bowler_phases, params), params),
+        "bowler_phase_stats": bowler_table,
         "batter_phase_stats": batter_phase_from(batter_phases, params),
         "venue_profiles": venue_profiles_from(matches, info),
         "batter_vs_bowling_style": batter_vs_style_from(pairs, styles, params),
         "recent_form": recent_form(fact, params),
-        "player_clones": clones_from(
-            batter_features_from(batter_phases, params),
-            bowler_features_from(bowler_phases, params), params,
-        ),
+        "player_clones": clone_table,
         "pressure_performance": pressure_from(
             fact, pressure_matches_from(matches, params), params
         ),

@@ -1,11 +1,14 @@
 """Stored result tables: layout, replacement and the report after writing."""
 
+from functools import partial
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from creaseline.schema import TABLE_COLUMNS
+from creaseline.sources.concurrent import concurrently
 
 # Sort keys per table: the columns readers look rows up by. Every list ends in a unique key, so a
 # player with very many rows still spreads over several files. A leading minus sorts descending.
@@ -39,25 +42,30 @@ def index_path(directory: str, name: str) -> str:
 
 
 def write_tables(tables: dict[str, DataFrame], directory: str) -> list[str]:
-    """Replace each table by its new rows; an empty table is skipped and its older rows survive.
+    """Replace each table by its new rows; the names of the stored tables.
 
-    Rows are range-partitioned and sorted on the lookup keys, so Parquet min/max statistics let a
-    lookup skip files and row groups.
+    An empty table is skipped and its older rows survive. Rows are range-partitioned and sorted on
+    the lookup keys, so Parquet min/max statistics let a lookup skip files and row groups.
     """
-    stored = []
-    for name, table in tables.items():
-        # Read four times: emptiness, range bounds, two layouts.
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if table.isEmpty():
-                continue
-            _write_sorted(table, LAYOUT.get(name, table.columns[:1]), table_path(directory, name))
-            if name in SECOND_LAYOUT:
-                _write_sorted(table, SECOND_LAYOUT[name], index_path(directory, name))
-            stored.append(name)
-        finally:
-            table.unpersist()
-    return stored
+    if not tables:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    jobs = [partial(_write_table, name, table, directory) for name, table in tables.items()]
+    return [name for name, stored in zip(tables, concurrently(spark, jobs)) if stored]
+
+
+def _write_table(name: str, table: DataFrame, directory: str) -> bool:
+    # Read several times: emptiness, range bounds, one or two layouts.
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if table.isEmpty():
+            return False
+        _write_sorted(table, LAYOUT.get(name, table.columns[:1]), table_path(directory, name))
+        if name in SECOND_LAYOUT:
+            _write_sorted(table, SECOND_LAYOUT[name], index_path(directory, name))
+        return True
+    finally:
+        table.unpersist()
 
 
 def _write_sorted(table: DataFrame, keys: list[str], path: str) -> None:
