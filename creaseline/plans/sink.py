@@ -76,7 +76,13 @@ def _write_sorted(table: DataFrame, keys: list[str], path: str) -> None:
     )
 
 
-def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+def read_table(
+    spark: SparkSession, directory: str, name: str, by: str | None = None
+) -> DataFrame:
+    """A stored table; `by` names the lookup column and picks the copy whose order serves it."""
+    main, second = LAYOUT.get(name, []), SECOND_LAYOUT.get(name, [])
+    if by in second and by != main[0]:
+        return spark.read.parquet(index_path(directory, name))
     return spark.read.parquet(table_path(directory, name))
 
 

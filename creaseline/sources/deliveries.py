@@ -209,8 +209,19 @@ def _stem(name: Column) -> Column:
 
 
 def _present(names: list[str]) -> list[str]:
-    extra = sorted(set(names) - set(DELIVERY_COLUMNS) - {""})
-    return [name for name in DELIVERY_COLUMNS if name in names] + extra
+    """Known columns in their order, then further ones by name.
+
+    Column names are compared without case downstream, so of names that differ only in case the
+    known, or else the first, one is kept.
+    """
+    known = [name for name in DELIVERY_COLUMNS if name in names]
+    taken = {name.lower() for name in DELIVERY_COLUMNS} | {""}
+    extra = []
+    for name in sorted(set(names)):
+        if name.lower() not in taken:
+            taken.add(name.lower())
+            extra.append(name)
+    return known + extra
 
 
 def _named(present: list[str], layouts: dict[int, list[str]], layout: Column) -> list[Column]:
@@ -241,5 +252,7 @@ def type_columns(rows: DataFrame) -> DataFrame:
             value = name if there else "CAST(NULL AS STRING)"
         return f"{value} AS {name}"
 
-    extra = [f"`{name}`" for name in rows.columns if name not in DELIVERY_COLUMNS]
+    extra = [
+        "`" + name.replace("`", "``") + "`" for name in rows.columns if name not in DELIVERY_COLUMNS
+    ]
     return rows.selectExpr(*[typed(name) for name in DELIVERY_COLUMNS], *extra)

@@ -82,7 +82,8 @@ def test_single_lookup_reaches_the_scan(spark, stored):
     one = lookup_one(read_table(spark, out, "matchups_1v1"), batter="bat1", bowler="bowl2")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(batter,bat1)" in plan and "EqualTo(bowler,bowl2)" in plan
-    second = spark.read.parquet(index_path(out, "matchups_1v1"))
+    second = read_table(spark, out, "matchups_1v1", by="bowler")
+    assert index_path(out, "matchups_1v1") in second.inputFiles()[0]
     key = "batter = 'bat1' AND bowler = 'bowl2'"
     assert second.filter(key).collect() == read_table(spark, out, "matchups_1v1").filter(key).collect()
 

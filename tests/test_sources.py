@@ -82,6 +82,14 @@ def test_files_are_matched_by_column_name(spark, tmp_path):
     assert sorted(r["runs_off_bat"] for r in got["4"]) == [0.0, 6.0]
 
 
+def test_odd_headers(spark, tmp_path):
+    write(tmp_path, "1.csv", "", "  ", 'match_id,"Striker",striker,we`ird,wides,wides', "1,no,yes,w,1,2")
+    source = load(spark, tmp_path)
+    row, = source.deliveries.collect()
+    assert (row["match_id"], row["striker"], row["we`ird"], row["wides"]) == ("1", "yes", "w", 1.0)
+    assert source.deliveries.columns == [*DELIVERY_COLUMNS, "we`ird"]
+
+
 def test_unreadable_files_are_left_out_whole(spark, tmp_path):
     write(tmp_path, "good.csv", HEADER, line(match_id="good"))
     write(tmp_path, "short.csv", HEADER, "short,2020", line(match_id="short"))
