@@ -32,7 +32,10 @@ SAMPLE_PER_LEAF = 16
 TIE_DIGITS = 12
 PRUNE_SLACK = 1e-9  # in squared distance; far above the tie width
 
-_FOUND = "role string, lead string, unit array<double>, sims array<double>, clones array<string>"
+_FOUND = (
+    "role string, lead string, unit array<double>, leaf int,"
+    " sims array<double>, clones array<string>"
+)
 
 
 @dataclass(frozen=True)
@@ -92,7 +95,7 @@ def best_of_block(
 def _search(keep: int):
     def search(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if asking.empty or block.empty:
-            return pd.DataFrame(columns=["role", "lead", "unit", "sims", "clones"])
+            return pd.DataFrame(columns=["role", "lead", "unit", "leaf", "sims", "clones"])
         named = block.explode("names").sort_values("names", kind="stable")
         candidates = np.vstack(named["unit"].to_numpy())
         names = named["names"].to_numpy()
@@ -107,7 +110,8 @@ def _search(keep: int):
                 clones.append(names[row[left:right]].tolist())
         return pd.DataFrame({
             "role": asking["role"].to_numpy(), "lead": asking["lead"].to_numpy(),
-            "unit": asking["unit"].to_numpy(), "sims": sims, "clones": clones,
+            "unit": asking["unit"].to_numpy(), "leaf": asking["leaf"].to_numpy(),
+            "sims": sims, "clones": clones,
         })
 
     return search
@@ -164,7 +168,10 @@ def _merge(found: DataFrame, keep: int) -> DataFrame:
     )
     return (
         found.groupBy("role", "lead")
-        .agg(F.slice(ranked, 1, keep).alias("best"), F.first("unit").alias("unit"))
+        .agg(
+            F.slice(ranked, 1, keep).alias("best"),
+            F.first("unit").alias("unit"), F.first("leaf").alias("leaf"),
+        )
     )
 
 
@@ -288,7 +295,6 @@ def _search_leaves(points: DataFrame, leaf_size: int, keep: int) -> DataFrame:
     worst = F.when(F.size("best") < keep, F.lit(0.0)).otherwise(-last)
     asking = written(
         own.withColumn("worst", worst)
-        .join(points.select("role", "lead", "leaf"), ["role", "lead"])
         .withColumn("leaf", F.explode(_reach_column(boxes)))
         .select("role", "lead", "unit", "leaf"),
         "asking",
@@ -296,7 +302,7 @@ def _search_leaves(points: DataFrame, leaf_size: int, keep: int) -> DataFrame:
     asked = asking.groupBy("role", "leaf").count().collect()  # at most MAX_LEAVES rows per role
     slices = {(row["role"], row["leaf"]): -(-row["count"] // (4 * leaf_size)) for row in asked}
     found_own = own.select(
-        "role", "lead", "unit",
+        "role", "lead", "unit", "leaf",
         F.transform("best", lambda pair: -pair["fall"]).alias("sims"),
         F.transform("best", lambda pair: pair["clone"]).alias("clones"),
     )
