@@ -25,7 +25,7 @@ from creaseline.plans.sink import write_tables
 from creaseline.sources.concurrent import concurrently
 from creaseline.sources.deliveries import read_deliveries
 from creaseline.sources.match_info import read_match_info
-from creaseline.sources.storage import written
+from creaseline.sources.storage import run_folder, written
 
 
 def build_tables(
@@ -70,9 +70,13 @@ def build_tables(
 def run(
     spark: SparkSession, matches_dir: str, out_dir: str, params: Params = Params()
 ) -> list[str]:
-    """Read match files, build all tables, store them; the names of the stored tables."""
-    source = read_deliveries(spark, matches_dir)
-    info = written(read_match_info(spark, matches_dir, source.loaded), "match-info")
-    fact = written(enrich(source.deliveries), "fact")
-    tables = build_tables(fact, None if info.isEmpty() else info, params)
-    return write_tables(tables, out_dir)
+    """Read match files, build all tables, store them; the names of the stored tables.
+
+    Intermediates live in the shared folder for the length of the run.
+    """
+    with run_folder(spark):
+        source = read_deliveries(spark, matches_dir)
+        info = written(read_match_info(spark, matches_dir, source.loaded), "match-info")
+        fact = written(enrich(source.deliveries), "fact")
+        tables = build_tables(fact, None if info.isEmpty() else info, params)
+        return write_tables(tables, out_dir)

@@ -7,10 +7,14 @@ size lets Spark choose join strategies from facts.
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/creaseline/{label}-{uuid.uuid4().hex}"
+    folder = _run_folder.get() or f"{shared_dir(spark)}/creaseline"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Gather what is written inside the block in one folder and delete it at the end.
+
+    Frames that still read from it must not leave the block.
+    """
+    folder = scratch_path(spark, "run")
+    token = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from creaseline.params import Params
@@ -5,6 +7,8 @@ from creaseline.plans.build import run
 from creaseline.plans.sink import index_path, read_table, table_path, table_report, write_tables
 from creaseline.schema import DELIVERY_COLUMNS, TABLE_COLUMNS
 from creaseline.operators.lookup import lookup, lookup_one, matchup_with_fallback
+from creaseline.sources.concurrent import concurrently
+from creaseline.sources.storage import run_folder, shared_dir, written
 
 PARAMS = Params(kmeans_restarts=2)
 
@@ -77,6 +81,20 @@ def test_run_stores_all_tables(spark, stored):
     assert archetypes.filter("bowling_archetype = 'unknown'").isEmpty()
 
 
+def test_run_leaves_no_intermediates(spark, stored):
+    folder = Path(shared_dir(spark)) / "creaseline"
+    assert not list(folder.glob("run-*"))
+
+
+def test_run_folder_gathers_what_threads_write_and_goes_away(spark):
+    with run_folder(spark) as folder:
+        frames = concurrently(spark, [lambda i=i: written(spark.range(i), "x") for i in (2, 3)])
+        assert [f.count() for f in frames] == [2, 3]
+        assert all(folder in name for f in frames for name in f.inputFiles())
+    assert not Path(folder).exists()
+    assert folder not in written(spark.range(1), "x").inputFiles()[0]
+
+
 def test_single_lookup_reaches_the_scan(spark, stored):
     _, out = stored
     one = lookup_one(read_table(spark, out, "matchups_1v1"), batter="bat1", bowler="bowl2")
