@@ -20,8 +20,11 @@ _QUOTED = '"[^"]*"'
 
 def file_name() -> Column:
     """Plain file name of the row's file; the metadata column holds it percent-encoded."""
-    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(encoded)
+    return _decoded(F.col("_metadata.file_name"))
+
+
+def _decoded(encoded: Column) -> Column:
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -69,24 +72,22 @@ def _text_files(spark: SparkSession, directory: str) -> DataFrame:
         .select(
             "value",
             F.col("_metadata.file_path").alias("path"),
-            file_name().alias("name"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("line"),
-            ).alias("at"),
+            F.col("_metadata.file_name").alias("encoded"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
         )
-        .filter(~F.col("name").contains(INFO_MARK) & (F.trim("value") != ""))
+        .filter(~F.col("encoded").contains(INFO_MARK) & (F.trim("value") != ""))
     )
     value = F.col("value")
     quotes = _count(value, '"')
     bare = F.when(quotes > 0, F.regexp_replace(value, _QUOTED, "")).otherwise(value)
-    return lines.groupBy("path", "name").agg(
-        F.min_by("value", "at").alias("header"),
+    return lines.groupBy("path", "encoded").agg(
+        F.expr("min_by(value, line) FILTER (WHERE block = 0) AS header"),
         F.max(_count(bare, ",") + 1).alias("fields"),
         F.sum(quotes).alias("quotes"),
         F.max(quotes % 2).alias("open_quotes"),
         F.max((~F.is_valid_utf8(value)).cast("int")).alias("bad_text"),
-    )
+    ).withColumn("name", _decoded(F.col("encoded")))
 
 
 def _count(text: Column, sign: str) -> Column:
