@@ -26,10 +26,10 @@ def canonical(columns, rows):
     return sorted([str(row[i]) for i in order] for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    frame = registry.queries()[name](spark, SMALL)
-    relation = duck.sql(registry.oracle_sql()[name])
+    frame = queries.QUERIES[name](spark, SMALL)
+    relation = duck.sql(registry.ORACLES[name])
     assert sorted(frame.columns) == sorted(relation.columns)
     mine = canonical(frame.columns, [tuple(r) for r in frame.collect()])
     theirs = canonical(relation.columns, relation.fetchall())
@@ -38,7 +38,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_only_the_archetypes_have_no_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"bowling_archetypes"}
+    assert set(queries.QUERIES) - set(registry.ORACLES) == {"bowling_archetypes"}
 
 
 def test_entry_runs(spark):
