@@ -30,6 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creaseline.llm.workers import kept, slices
 
@@ -225,8 +226,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(PieceModel.load(model_path))
     keep = [c for c in docs.columns if c not in (ids, decoded)]
-    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add(ids, "array<int>").add(decoded, "string")
     rows = docs.select(*[f"`{c}`" for c in keep])
+    schema = T.StructType([*rows.schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches):
         encoder = kept(f"pieces {model_path}", lambda: Encoder(model.value))
