@@ -2,8 +2,9 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from creaseline.llm import pieces
+from creaseline.llm import pieces, transducer
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -16,8 +17,16 @@ def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return pieces.digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document."""
+    docs = documents(spark, d).select("doc_id", "text")
+    counted = transducer.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
