@@ -4,13 +4,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import pieces, transducer
+from creaseline.llm import languages, pieces, transducer
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document; three quarters of the labelled documents may teach it."""
+    docs = documents(spark, d)
+    model = languages.learn(docs, ~languages.held_out())
+    predicted = languages.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Every document encoded and decoded; counts and digests."""
     docs = documents(spark, d).select("doc_id", "text")
@@ -25,6 +33,7 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
