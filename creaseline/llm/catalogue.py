@@ -4,13 +4,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import languages, pieces, transducer
+from creaseline.llm import languages, pieces, sharding, transducer
+from creaseline.llm.oracles import ORACLES
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+SHARD_BYTES = 64 << 20
+
+
+def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.assign(documents(spark, d).select("doc_id", "text"), SHARD_BYTES)
+
+
 def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
     """The language of every document; three quarters of the labelled documents may teach it."""
     docs = documents(spark, d)
@@ -32,10 +41,11 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLES: dict[str, str] = {}
