@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import languages, pieces, sharding, transducer
+from creaseline.llm import languages, pieces, sharding, simhash, transducer
 from creaseline.llm.oracles import ORACLES
 
 
@@ -28,6 +28,12 @@ def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
     return predicted.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, d))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Every document encoded and decoded; counts and digests."""
     docs = documents(spark, d).select("doc_id", "text")
@@ -46,6 +52,7 @@ __all__ = ["ORACLES", "QUERIES"]
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op6_simhash": op6_simhash,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
