@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import languages, pieces, sharding, simhash, transducer
+from creaseline.llm import decontamination, languages, pieces, sharding, simhash, transducer
 from creaseline.llm.oracles import ORACLES
 
 
@@ -40,6 +40,13 @@ def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return pieces.digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark windows that stand in every document."""
+    judged = decontamination.judge(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of every document."""
     docs = documents(spark, d).select("doc_id", "text")
@@ -54,5 +61,6 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op6_simhash": op6_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }

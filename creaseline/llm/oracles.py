@@ -17,6 +17,41 @@ FROM prefixes JOIN shards USING (depth, prefix)
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """
 
+DECONTAMINATION = r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark
+), starts AS (
+    SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i
+    FROM items WHERE len(ws) > 0
+), windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM starts
+), places AS (
+    SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM split, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n
+), hits AS (
+    SELECT DISTINCT p.doc_id, p.i, p.n, w.item_id
+    FROM (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM places) p
+    JOIN windows w ON p.w = w.w AND p.n = w.n
+), covered AS (
+    SELECT doc_id, COUNT(DISTINCT pos) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.ws) AS BIGINT) AS n_words, CAST(COALESCE(c.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(COALESCE(n.n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(n.items, '')) AS items_sha256,
+       c.n_hit IS NOT NULL AS contaminated
+FROM split s LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_sharding": SHARDING.format(limit=64 << 20),
+    "op9_decontamination": DECONTAMINATION,
 }
