@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creaseline.llm import decontamination, languages, pieces, sharding, simhash, transducer
+from creaseline.llm import decontamination, languages, lines, pieces, sharding, simhash, transducer
 from creaseline.llm.oracles import ORACLES
 
 
@@ -28,6 +28,15 @@ def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
     return predicted.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of every document that are not the first of their kind."""
+    judged = lines.judge(documents(spark, d))
+    return judged.select(
+        "doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"),
+        F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"),
+    )
+
+
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(documents(spark, d))
@@ -59,6 +68,7 @@ __all__ = ["ORACLES", "QUERIES"]
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op6_simhash": op6_simhash,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,

@@ -26,7 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     state = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.crc32(F.concat_ws("/", "u", "v").cast("binary")))).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
         if now == state or now[0] == 0:
             break
         state = now
