@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from creaseline.llm import decontamination, languages, lines, pieces, sharding, simhash, transducer
 from creaseline.llm.oracles import ORACLES
 
@@ -73,4 +74,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
