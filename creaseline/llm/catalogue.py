@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from creaseline.llm import decontamination, languages, lines, pieces, sharding, simhash, transducer
+from creaseline.llm import decontamination, languages, lines, pieces, sharding, simhash, transducer, warc
 from creaseline.llm.oracles import ORACLES
+from creaseline.sources.storage import scratch_path
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +39,13 @@ def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, d: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{d}/pages.parquet"), path)
+    return warc.digests(warc.payloads(warc.reassembled(warc.read(spark, path))))
+
+
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(documents(spark, d))
@@ -70,6 +78,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
