@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from creaseline.llm import decontamination, languages, lines, pieces, sharding, simhash, transducer, warc
+from creaseline.llm import decontamination, embeddings, languages, lines, pieces, sharding, simhash, transducer, warc
 from creaseline.llm.oracles import ORACLES
 from creaseline.sources.storage import scratch_path
 
@@ -52,6 +52,11 @@ def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Every document encoded and decoded; counts and digests."""
     docs = documents(spark, d).select("doc_id", "text")
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
+    "op7_embeddings": op7_embeddings,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
