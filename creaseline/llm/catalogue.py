@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from creaseline.llm import decontamination, embeddings, languages, lines, pieces, sharding, simhash, transducer, warc
+from creaseline.llm import decontamination, embeddings, languages, lines, pieces, sharding, simhash, suffixes, transducer, warc
 from creaseline.llm.oracles import ORACLES
 from creaseline.sources.storage import scratch_path
 
@@ -46,6 +46,12 @@ def op4_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.digests(warc.payloads(warc.reassembled(warc.read(spark, path))))
 
 
+def op5_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """What repeats of 50 bytes leave of every document."""
+    cut = suffixes.remove_repeats(documents(spark, d))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(documents(spark, d))
@@ -84,6 +90,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_warc": op4_warc,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_embeddings": op7_embeddings,
     "op8_sentencepiece": op8_sentencepiece,
