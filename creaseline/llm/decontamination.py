@@ -25,17 +25,23 @@ from creaseline.sources.storage import written
 WINDOW = 10
 BROADCAST_ROWS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text, not yet lower-cased."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def lowered(word: Column) -> Column:
+    """A-Z in lower case; other letters keep their case, which `lower` would change."""
+    ascii_only = F.octet_length(word) == F.char_length(word)
+    return F.when(ascii_only, F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
 def windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(window, item, tokens): one row for each item and different window."""
-    split = benchmark.select(F.col(item).alias("item"), words(F.col(text)).alias("all")).filter(F.size("all") > 0)
+    split = benchmark.select(F.col(item).alias("item"), F.transform(words(F.col(text)), lowered).alias("all")).filter(F.size("all") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - WINDOW + 1, F.lit(1)))
     cut = split.select("item", "all", F.explode(starts).alias("at"))
     cut = cut.select("item", F.slice("all", F.col("at"), F.least(F.size("all"), F.lit(WINDOW))).alias("tokens"))
@@ -60,7 +66,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _rarity(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(token, uses): how often each token stands in all texts."""
-    spoken = texts.select(F.explode("words").alias("token")).withColumn("hash", F.xxhash64("token"))
+    # An outer explode: the plain one would infer filters that split every text again.
+    spoken = texts.select(F.explode_outer("words").alias("word")).select(lowered(F.col("word")).alias("token"))
+    spoken = spoken.withColumn("hash", F.xxhash64("token"))
     wanted = tokens.withColumn("hash", F.xxhash64("token")).withColumnRenamed("token", "wanted")
     met = [spoken.join(part, "hash").filter("token = wanted").groupBy("token").count() for part in _parts(wanted, "hash")]
     return _union(met).select("token", F.col("count").alias("uses"))
@@ -84,13 +92,13 @@ def index(windows: DataFrame, texts: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
     """(id, digest, window, start, length) for each place where a window of the index stands."""
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), words(F.col(text)).alias("words"))
-    spread = texts.select("id", "digest", "words", F.posexplode("words").alias("at", "word"))
-    spread = spread.select("id", "digest", "words", "at", F.xxhash64("word").alias("hash"))
+    spread = texts.select("id", "digest", "words", F.posexplode_outer("words").alias("at", "word"))
+    spread = spread.select("id", "digest", "words", "at", F.xxhash64(lowered(F.col("word"))).alias("hash"))
     start = F.col("at") - F.col("offset")
     met = [
         spread.join(part, "hash")
         .filter((start >= 0) & (start + F.size("tokens") <= F.size("words")))
-        .filter(F.slice("words", start + 1, F.size("tokens")) == F.col("tokens"))
+        .filter(F.transform(F.slice("words", start + 1, F.size("tokens")), lowered) == F.col("tokens"))
         .select("id", "digest", "window", start.alias("start"), F.size("tokens").alias("length"))
         for part in _parts(found, "hash")
     ]
@@ -118,7 +126,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     )
     counted = docs.select(
         F.col(key).alias("id"), F.xxhash64(text).alias("digest"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE_WORD)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words"),
     )
     out = counted.join(judged, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
     nothing = F.array().cast("array<string>")
@@ -133,6 +141,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     """The documents in which no window stands."""
     each = written(windows(benchmark, "item_id", "text"), "benchmark-windows")
     found = written(index(each, docs.select(words(F.col(text)).alias("words"))), "benchmark-index")
-    hits = written(occurrences(docs, key, text, found).select("id", "digest").distinct(), "benchmark-hits")
-    same = F.col(key).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("digest"))
+    hits = occurrences(docs, key, text, found).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    hits = written(hits.distinct(), "benchmark-hits")
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__digest"))
     return docs.join(hits, same, "left_anti")
