@@ -5,10 +5,12 @@ Lines are similar if their sets of five-character shingles (UTF-16 units; a shor
 shingle) have a Jaccard similarity of at least 0.8. One line stays of each component of similar
 lines: the first one, by key and then by line number.
 
-1. Shingles are hashed once. The hash range is cut into bins, and the least hash of each bin is the
-   signature (one-permutation MinHash); a sentinel at each bin's end stands in for an empty bin.
-   Twelve bands of six bins each are hashed: a pair at 0.8 shares a band with a chance of 97 percent,
-   one at 0.9 with 99.99 percent.
+1. A signature is drawn from the character strings of length 16 that begin at words (or at any letter
+   of a script without case, which may write without blanks). Unrelated lines hardly share one of
+   these, so short bands are selective. The hash range is cut into 24 bins, and the least hash of
+   each bin is the signature (one-permutation MinHash); a sentinel at each bin's end stands in for
+   an empty bin. Two bins make a band. Lines that differ by replaced words and are at the threshold
+   share one of the twelve bands with a chance of over 99 percent.
 2. Equal lines become one row, with partial aggregation, before anything is compared.
 3. Within a band's bucket each line is paired with the bucket's first line and with its predecessor,
    so a bucket of n lines gives fewer than 2n candidates.
@@ -31,14 +33,19 @@ from creaseline.sources.storage import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 12
-BAND_BINS = 6
-_BIN_BITS = 7  # 128 bins, of which the bands use the first 72
-_FREE = 64 - _BIN_BITS  # bits of a hash that order it inside its bin
+BAND_BINS = 2
+SIGNED = 16  # characters of a string that is hashed for the signature
+BROADCAST_ROWS = 1_000_000  # line hashes (8 bytes) that may be broadcast; more are joined by shuffle
+_BINS = BANDS * BAND_BINS
+_ANCHORED = rf"(?s)(?:^|(?<=\s)|(?=\p{{Lo}}))(?=(.{{1,{SIGNED}}}))"
+# The largest hash of each bin; bins cut the range of 64-bit hashes evenly.
+_SENTINELS = [((-(-(b + 1) * (1 << 32) // _BINS) - 1 - (1 << 31)) << 32) + (1 << 32) - 1 for b in range(_BINS)]
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, at, line) of every line that is not blank."""
-    spread = docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
+    # An outer explode: the plain one would infer filters that split every text again.
+    spread = docs.select(F.col(key).alias("id"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("at", "line"))
     return spread.select("id", "at", F.trim("line").alias("line")).filter("line <> ''")
 
 
@@ -56,19 +63,19 @@ def _shingles(units: Column, make) -> Column:
 
 def with_bands(lines: DataFrame) -> DataFrame:
     """`lines` with one hash per band, b0 and so on; null where all bins of the band are empty."""
-    low, high = -(1 << _BIN_BITS - 1), (1 << _BIN_BITS - 1) - 1
-    sentinels = F.expr(f"transform(sequence({low}L, {high}L), b -> shiftleft(b, {_FREE}) + {(1 << _FREE) - 1}L)")
-    units = lines.withColumn("units", F.encode("line", "UTF-16BE"))
-    hashed = units.withColumn("hashes", F.sort_array(F.concat(_shingles(F.col("units"), F.xxhash64), sentinels)))
-    least = hashed.withColumn("bins", F.expr(
-        f"filter(hashes, (h, i) -> i = 0 OR shiftright(h, {_FREE}) <> shiftright(hashes[i - 1], {_FREE}))"
-    ))
-    mask = (1 << _FREE) - 1
+    anchored = lines.withColumn("strings", F.regexp_extract_all("line", F.lit(_ANCHORED), F.lit(1)))
+    sentinels = F.expr(f"array({', '.join(f'{h}L' for h in _SENTINELS)})")
+    hashed = anchored.withColumn("hashes", F.sort_array(F.concat(F.transform("strings", lambda s: F.xxhash64(s)), sentinels)))
+    bin_of = "shiftright((shiftright({h}, 32) + {half}L) * {bins}, 32)".replace("{half}", str(1 << 31)).replace("{bins}", str(_BINS))
+    here, before = bin_of.replace("{h}", "h"), bin_of.replace("{h}", "hashes[i - 1]")
+    least = hashed.withColumn("bins", F.expr(f"filter(hashes, (h, i) -> i = 0 OR {here} <> {before})"))
     bands = {}
     for band in range(BANDS):
-        bins = f"slice(bins, {band * BAND_BINS + 1}, {BAND_BINS})"
-        bands[f"b{band}"] = F.expr(f"IF(exists({bins}, h -> (h & {mask}L) <> {mask}L), xxhash64({band}, {bins}), NULL)")
-    return least.withColumns(bands).drop("units", "hashes", "bins")
+        own = range(band * BAND_BINS, (band + 1) * BAND_BINS)
+        bins = f"slice(bins, {own[0] + 1}, {BAND_BINS})"
+        empty = f"array({', '.join(f'{_SENTINELS[b]}L' for b in own)})"
+        bands[f"b{band}"] = F.expr(f"IF({bins} <> {empty}, xxhash64({band}, {bins}), NULL)")
+    return least.withColumns(bands).drop("strings", "hashes", "bins")
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -89,6 +96,8 @@ def links(lines: DataFrame) -> DataFrame:
     """(a, b): digests of different lines whose similarity reaches the threshold."""
     pairs = written(candidates(lines), "line-candidates")
     asked = pairs.select(F.col("a").alias("hash")).union(pairs.select(F.col("b").alias("hash"))).distinct()
+    asked = written(asked, "line-asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = lines.select(F.xxhash64("line").alias("hash"), "line").join(asked, "hash", "left_semi")
     texts = written(texts.distinct().withColumn("units", F.encode("line", "UTF-16BE")), "line-texts")
     one = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"), F.col("units").alias("units_a"))
