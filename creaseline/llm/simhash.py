@@ -36,7 +36,7 @@ from creaseline.sources.storage import written
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-SHARD = 4096  # fingerprints that a shard should hold
+SHARD = 16_384  # fingerprints that a shard should hold; each further split repeats a part of them
 SAMPLE = 65_536  # fingerprints, in expectation, that the tree is built on
 _BLOCK = 1 << 21  # pairs compared at once
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
