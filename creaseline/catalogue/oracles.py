@@ -442,7 +442,8 @@ _VENUE_PARTS = [_INFO, _INNINGS, _VENUE_PHASES, _EARLY, _SURFACE, _TOSS, _PROFIL
 ORACLES = {
     "matchups_1v1": _sql(_PAIRS, _MATCHUPS, "SELECT * FROM mu"),
     "matchups_presented": _sql(
-        _PAIRS, _MATCHUPS, "SELECT * FROM mu ORDER BY batter, balls_faced DESC, bowler"
+        _PAIRS, _MATCHUPS, """SELECT *, CAST(row_number() OVER (PARTITION BY batter ORDER BY balls_faced DESC, bowler)
+                             AS INTEGER) AS presented FROM mu"""
     ),
     "bowler_phase_stats": _sql(_BOWLER_PHASE, "SELECT * FROM bps"),
     "batter_phase_stats": _sql(_BATTER_PHASE, "SELECT * FROM tps"),
@@ -553,7 +554,8 @@ ORACLES = {
            FROM f""",
     ),
     "ingest_match_info": "WITH" + _INFO + """
-SELECT match_id, venue || ', Ground' AS venue, venue AS city, '' AS season, '' AS date, '' AS event,
+SELECT match_id, venue || ', Ground' AS venue, venue AS city, '2020' AS season,
+       '2020/01/0' || (CAST(match_id AS BIGINT) % 9 + 1) AS date, 'Cup of St John"s ' || match_id AS event,
        '' AS match_number, '' AS toss_winner, toss_decision, winner,
        CASE WHEN CAST(match_id AS BIGINT) % 5 = 0 THEN NULL
             ELSE CAST(CAST(match_id AS BIGINT) % 90 AS DOUBLE) END AS winner_runs,

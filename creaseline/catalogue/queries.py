@@ -1,6 +1,6 @@
 """Every operator as a query over the test tables: (spark, sf_dir) -> DataFrame."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creaseline.functions import scaled_round
@@ -51,7 +51,9 @@ def matchups_1v1(spark, d):
 
 def matchups_presented(spark, d):
     """Matchups with the rank each row has in presentation order (batter, most balls first)."""
-    return matchups_1v1(spark, d).orderBy("batter", F.desc("balls_faced"), "bowler")
+    order = Window.partitionBy("batter").orderBy(F.desc("balls_faced"), "bowler")
+    ranked = matchups_1v1(spark, d).withColumn("presented", F.row_number().over(order))
+    return ranked.orderBy("batter", "presented")
 
 
 def bowler_phase_stats(spark, d):
@@ -205,6 +207,10 @@ def ingest_match_info(spark, d):
         concat('info,team,Home ', match_id),
         concat('info,team, Away ', match_id),
         'info,city,Nowhere',
+        concat('info,event,Cup of St John"s ', match_id),
+        concat('info,date,\t2020/01/0', CAST(match_id AS BIGINT) % 9 + 1, '\t'),
+        concat('info,season,"', repeat('"",', 12500), '"'),
+        'info,season,2020',
         concat('info,city,', venue),
         concat('info,venue,"', venue, ', Ground"'),
         concat('info,toss_decision,', toss_decision),

@@ -14,8 +14,13 @@ NUMBER_KEYS = ["winner_runs", "winner_wickets"]
 LIST_KEY = "team"
 
 _SUFFIX = rf"{INFO_MARK}\.csv$"
-# A comma with an even number of quotes after it, i.e. one outside quoted fields.
-_OUTER_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Stands for a comma inside quotes while a line is split; a noncharacter, so never in text.
+_QUOTED_COMMA = "\uFDD0"
+# White space, which is trimmed around lines and fields.
+_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def info_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -44,7 +49,20 @@ def info_lines(spark: SparkSession, directory: str) -> DataFrame:
 
 def _clean(field: Column) -> Column:
     """Trim, drop the quotes around a field, undouble those inside."""
-    return F.replace(F.btrim(F.btrim(field), F.lit('"')), F.lit('""'), F.lit('"'))
+    field = F.replace(field, F.lit(_QUOTED_COMMA), F.lit(","))
+    return F.replace(F.btrim(F.btrim(field, F.lit(_SPACE)), F.lit('"')), F.lit('""'), F.lit('"'))
+
+
+def _fields(line: Column) -> Column:
+    """A line's fields. Commas inside quotes belong to their field; if a quote stays open, every
+    comma separates. Linear in the line's length."""
+    pieces = F.split(F.btrim(line, F.lit(_SPACE)), '"')
+    quoted = F.transform(
+        pieces,
+        lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit(","), F.lit(_QUOTED_COMMA))).otherwise(piece),
+    )
+    closed = F.size(pieces) % 2 == 1
+    return F.transform(F.split(F.array_join(F.when(closed, quoted).otherwise(pieces), '"'), ","), _clean)
 
 
 def parse_info(lines: DataFrame) -> DataFrame:
@@ -52,9 +70,8 @@ def parse_info(lines: DataFrame) -> DataFrame:
 
     Keys never seen give "" (text) or NULL (numbers). Quoted commas belong to their field.
     """
-    parts = F.transform(F.split(F.btrim("line"), _OUTER_COMMA), _clean)
     fields = (
-        lines.withColumn("parts", parts)
+        lines.withColumn("parts", _fields(F.col("line")))
         .filter((F.size("parts") >= 3) & (F.col("parts")[0] == "info"))
         .select(
             "match_id", "at", F.col("parts")[1].alias("key"), F.col("parts")[2].alias("value"),

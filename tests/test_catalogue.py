@@ -47,6 +47,7 @@ def test_entry_runs(spark):
 
 def test_presentation_order(spark):
     rows = queries.matchups_presented(spark, SMALL).collect()
+    assert all(b['presented'] == 1 or a['presented'] + 1 == b['presented'] for a, b in zip(rows, rows[1:]))
     assert rows == sorted(rows, key=lambda r: (r["batter"], -r["balls_faced"], r["bowler"]))
 
 

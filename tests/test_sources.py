@@ -137,12 +137,16 @@ def test_large_file_is_read_in_splits(spark, tmp_path):
     assert sum(r["runs_off_bat"] for r in got["big"]) == sum(i % 7 for i in range(4000))
 
 
-def test_known_layout_skips_the_first_pass(spark, tmp_path):
-    write(tmp_path, "1.csv", "match_id,bowler", "1,w")
-    source = load(spark, tmp_path, columns=["match_id", "bowler"])
-    row, = source.deliveries.collect()
-    assert (row["match_id"], row["bowler"], row["wides"]) == ("1", "w", 0.0)
-    assert [r["stem"] for r in source.loaded.collect()] == ["1"]
+def test_odd_information_lines(spark, tmp_path):
+    write(tmp_path, "1.csv", HEADER, line(match_id="1"))
+    write(
+        tmp_path, "1_info.csv", 'info,city,St John"s', 'info,toss_winner,O"Neil XI, East', "info,winner,\tX\t",
+        "info,season," + '"a,",' * 25_000, 'info,venue,"Oval, ""East"" side"', "info,event, Cup\u00a0",
+    )
+    source = load(spark, tmp_path)
+    row, = read_match_info(spark, str(tmp_path), source.loaded).collect()
+    assert (row["city"], row["toss_winner"], row["winner"]) == ('St John"s', 'O"Neil XI,East', "X")
+    assert (row["season"], row["venue"], row["event"]) == ("a,", 'Oval, "East" side', "Cup")
 
 
 def test_match_information(spark, tmp_path):
