@@ -1,8 +1,10 @@
 """Delivery CSV files: discovery, header drift, quarantine, typing."""
 
 import csv
+import re
 import warnings
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +39,18 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def match_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Delivery files: CSV files whose name does not contain the info mark."""
-    found = list_files(spark, directory).filter(~F.col("name").contains(INFO_MARK))
-    if found.isEmpty():
-        raise FileNotFoundError(f"no delivery CSV files in {directory}")
-    return found
+def hidden_files(spark: SparkSession, directory: str) -> list[str]:
+    """Names of the CSV files that Spark leaves out without a word: those that start with _ or dot."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(directory, "[_.]*.csv")
+    found = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(pattern)
+    return sorted(status.getPath().getName() for status in found or ())
+
+
+def _listed_names(spark: SparkSession, directory: str) -> list[str]:
+    """Percent-encoded names of all listed delivery files, empty ones included: one listing."""
+    listed = spark.read.option("pathGlobFilter", "*.csv").text(directory).inputFiles()
+    return [name for path in listed if INFO_MARK not in (name := path.rsplit("/", 1)[-1])]
 
 
 @dataclass(frozen=True)
@@ -66,7 +74,7 @@ class DeliverySource:
 
 
 def _text_files(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per file from one pass over the raw lines, combined map-side."""
+    """One row per file with a line, from one pass over the raw lines, combined map-side."""
     lines = (
         spark.read.option("pathGlobFilter", "*.csv").text(directory)
         .select(
@@ -98,8 +106,8 @@ def _parse_header(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")]))
 
 
-def _raw_rows(spark, directory: str, width: int, spanning: bool) -> DataFrame:
-    """All files read by position, `width` text columns; the reader drops each file's header."""
+def _raw_rows(spark, paths: str | list[str], width: int, spanning: bool) -> DataFrame:
+    """Files read by position, `width` text columns; the reader drops each file's header."""
     fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     return (
@@ -108,7 +116,7 @@ def _raw_rows(spark, directory: str, width: int, spanning: bool) -> DataFrame:
             header=True, escape='"', multiLine=spanning, mode="PERMISSIVE",
             columnNameOfCorruptRecord=_CORRUPT, pathGlobFilter="*.csv",
         )
-        .csv(directory)
+        .csv(paths)
         .filter(~F.col("_metadata.file_name").contains(INFO_MARK))
         .select("*", F.col("_metadata.file_path").alias("path"))
     )
@@ -129,80 +137,87 @@ def _overlong_records(rows: DataFrame, files: DataFrame, width: int) -> DataFram
     )
 
 
-def read_deliveries(
-    spark: SparkSession, directory: str, columns: list[str] | None = None
-) -> DeliverySource:
+def read_deliveries(spark: SparkSession, directory: str) -> DeliverySource:
     """Read every delivery file of a directory into one typed DataFrame, matched by column name.
 
-    Runs one pass over the raw lines to learn each file's header and to quarantine what cannot be
-    parsed; the result itself stays lazy. `columns` states the layout where all files are known to
-    share it and to be sound, and saves that pass.
+    One pass over the raw lines learns each file's header and quarantines what cannot be parsed; the
+    result itself stays lazy. Every file is accounted for: an empty one, and one that Spark hides
+    for its name, are listed with a reason.
 
-    Files may differ in their headers, yet are read in one scan by position: the few distinct
-    layouts turn into one projection, and only files off the commonest layout are looked up by
-    path. Files stay splittable unless a quoted field spans lines.
+    Files may differ in their headers, yet are read in one splittable scan by position: the distinct
+    layouts turn into one projection. If every file is sound and has the commonest layout, the scan
+    stands alone; else the exceptions, written apart, are looked up by path. Only the sound files in
+    which a quoted field spans lines are read whole.
     """
-    match_files(spark, directory)
-    if columns is not None:
-        rows = _raw_rows(spark, directory, len(columns), False).drop(_CORRUPT)
-        named = rows.select(*_named(_present(columns), {0: columns}, F.lit(0)))
-        files = match_files(spark, directory).filter("length > 0").select(
-            "path", _stem(F.col("name")), F.lit(",".join(columns)).alias("header"),
-            F.lit(None).cast("string").alias("reason"),
-        )
-        return DeliverySource(type_columns(named), files)
-
+    listed, hidden = _listed_names(spark, directory), hidden_files(spark, directory)
+    if not listed:
+        raise FileNotFoundError(f"no delivery CSV files in {directory}")
     files = written(_text_files(spark, directory), "files")
     headers = [
         row["header"]
         for row in files.groupBy("header").count().orderBy(F.desc("count"), "header").collect()
-    ]  # distinct layouts, a handful
+    ]  # distinct layouts
     if not headers:
-        raise ValueError(f"no delivery file in {directory} could be loaded")
+        raise FileNotFoundError(f"all delivery CSV files in {directory} are empty")
     layouts = {i: _parse_header(header) for i, header in enumerate(headers)}
     known = spark.createDataFrame(
         [(header, i, len(layouts[i])) for i, header in enumerate(headers)],
         "header string, layout int, width int",
     )
-    files = files.join(F.broadcast(known), "header")
-    spanning = bool(files.agg(F.max("open_quotes")).first()[0])
     width = max(len(names) for names in layouts.values())
-    rows = _raw_rows(spark, directory, width, spanning)
-    if spanning:
-        overlong = _overlong_records(rows, files, width)
-        files = files.join(overlong, "path", "left").withColumn(
-            "overlong", F.coalesce("overlong", F.lit(False))
-        )
-    else:
-        files = files.withColumn("overlong", F.col("fields") > F.col("width"))
+    spanning = (F.col("open_quotes") == 1) & (F.col("bad_text") == 0) & (F.col("quotes") % 2 == 0)
+    files = files.join(known, "header").withColumn("spanning", spanning)
+    whole = [row["path"] for row in files.filter("spanning").select("path").collect()]
+    spanned = _raw_rows(spark, [_unescaped(path) for path in whole], width, True) if whole else None
+    files = files.withColumn("overlong", ~F.col("spanning") & (F.col("fields") > F.col("width")))
+    if whole:
+        longer = _overlong_records(spanned, files, width).withColumnRenamed("overlong", "longer")
+        files = files.join(longer, "path", "left").withColumn("overlong", F.col("overlong") | F.coalesce("longer", F.lit(False)))
     reason = (
         F.when(F.col("bad_text") == 1, "not UTF-8")
         .when(F.col("quotes") % 2 == 1, "unclosed quote")
         .when(F.col("overlong"), "more fields than the header")
     )
     files = written(
-        files.select("path", _stem(F.col("name")), "header", "layout",
-                     reason.alias("reason")),
+        files.select("path", _stem(F.col("name")), "header", "layout", "spanning", "encoded", reason.alias("reason")),
         "file-account",
     )
-    bad = files.filter("reason is not null")
-    if not bad.isEmpty():
-        warnings.warn(f"{bad.count()} delivery files quarantined in {directory}", stacklevel=2)
+    account = files.select("path", "stem", "header", "reason")
+    names = spark.createDataFrame([(name,) for name in listed], "encoded string")
+    empty = names.join(files, "encoded", "left_anti").withColumn("name", _decoded(F.col("encoded")))
+    unread = empty.select("name", F.lit("empty").alias("reason"))
+    if hidden:
+        unread = unread.union(spark.createDataFrame([(n, "hidden by its name") for n in hidden if INFO_MARK not in n], "name string, reason string"))
+    account = account.unionByName(
+        unread.select(F.lit(None).cast("string").alias("path"), _stem(F.col("name")), F.lit(None).cast("string").alias("header"), "reason")
+    )
+    bad = account.filter("reason is not null").count()
+    if bad:
+        warnings.warn(f"{bad} delivery files quarantined in {directory}", stacklevel=2)
     if files.filter("reason is null").isEmpty():
         raise ValueError(f"no delivery file in {directory} could be loaded")
 
-    exceptions = files.filter("layout > 0 or reason is not null").select(
-        "path", "layout", F.col("reason").isNotNull().alias("skip")
-    )
-    layout = F.coalesce("layout", F.lit(0))
-    placed = (
-        rows.drop(_CORRUPT)
-        .join(exceptions, "path", "left")
-        .filter(~F.coalesce("skip", F.lit(False)))
+    exceptions = files.filter("layout > 0 or spanning or reason is not null").select(
+        "path", "layout", "spanning", F.col("reason").isNotNull().alias("skip")
     )
+    rows = _raw_rows(spark, directory, width, False).drop(_CORRUPT)
+    if exceptions.isEmpty():
+        placed = rows.withColumn("layout", F.lit(0))
+    else:
+        exceptions = written(exceptions, "file-exceptions")
+        placed = rows.join(exceptions, "path", "left").filter("skip IS NULL OR NOT (skip OR spanning)")
+        if whole:
+            placed = placed.unionByName(spanned.drop(_CORRUPT).join(exceptions, "path").filter("NOT skip"))
+        placed = placed.withColumn("layout", F.coalesce("layout", F.lit(0)))
     present = _present([name for names in layouts.values() for name in names])
-    named = placed.select(*_named(present, layouts, layout))
-    return DeliverySource(type_columns(named), files.select("path", "stem", "header", "reason"))
+    named = placed.select(*_named(present, layouts, F.col("layout")))
+    return DeliverySource(type_columns(named), account)
+
+
+def _unescaped(path: str) -> str:
+    """A path as the reader takes it, from the percent-encoded form of the metadata column; glob
+    signs are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
 def _stem(name: Column) -> Column:

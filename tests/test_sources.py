@@ -19,8 +19,8 @@ def write(folder, name, *lines, end="\n"):
     )
 
 
-def load(spark, folder, **options):
-    return read_deliveries(spark, str(folder), **options)
+def load(spark, folder):
+    return read_deliveries(spark, str(folder))
 
 
 def rows_by_match(source):
@@ -98,11 +98,12 @@ def test_unreadable_files_are_left_out_whole(spark, tmp_path):
     write(tmp_path, "latin.csv", HEADER, line(match_id="latin", venue="X").encode() + b"\xe9")
     write(tmp_path, "empty.csv")
     write(tmp_path, "header.csv", HEADER)
-    with pytest.warns(UserWarning, match="2 delivery files"):
+    write(tmp_path, "_hidden.csv", HEADER, line(match_id="hidden"))
+    with pytest.warns(UserWarning, match="4 delivery files"):
         source = load(spark, tmp_path)
     assert set(rows_by_match(source)) == {"good", "short", "quoted"}
     assert {r["stem"]: r["reason"] for r in source.quarantined.collect()} == {
-        "long": "more fields than the header", "latin": "not UTF-8"}
+        "long": "more fields than the header", "latin": "not UTF-8", "empty": "empty", "_hidden": "hidden by its name"}
     assert sorted(r["stem"] for r in source.loaded.collect()) == [
         "good", "header", "quoted", "short"]
 
@@ -178,3 +179,22 @@ def test_match_information(spark, tmp_path):
     assert (got["2"]["venue"], got["2"]["winner_wickets"], got["2"]["teams"]) == (
         "Oval,West", 5, [])
     assert got["3"]["venue"] == "" and got["3"]["winner_runs"] is None
+
+
+def test_clean_directory_needs_no_join(spark, tmp_path):
+    for name in "123":
+        write(tmp_path, f"{name}.csv", HEADER, line(match_id=name))
+    plan = load(spark, tmp_path).deliveries._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_an_unclosed_quote_leaves_the_others_splittable(spark, tmp_path):
+    for name in "12":
+        write(tmp_path, f"{name}.csv", HEADER, *[line(match_id=name)] * 2000)
+    write(tmp_path, "3.csv", HEADER, line(match_id="3", venue='"never closed'))
+    write(tmp_path, "4 [x].csv", HEADER, line(match_id="4", venue='"two\nlines"'))
+    with pytest.warns(UserWarning, match="1 delivery files"):
+        source = load(spark, tmp_path)
+    got = rows_by_match(source)
+    assert {k: len(v) for k, v in got.items()} == {"1": 2000, "2": 2000, "4": 1}
+    assert got["4"][0]["venue"] == "two\nlines"
