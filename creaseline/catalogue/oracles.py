@@ -446,6 +446,7 @@ ORACLES = {
                              AS INTEGER) AS presented FROM mu"""
     ),
     "bowler_phase_stats": _sql(_BOWLER_PHASE, "SELECT * FROM bps"),
+    "bowling_archetype_join": _sql(_BOWLER_PHASE, "SELECT * FROM bps"),
     "batter_phase_stats": _sql(_BATTER_PHASE, "SELECT * FROM tps"),
     "bowler_style": _sql(_STYLES, "SELECT * FROM styles"),
     "deliveries_by_style": _sql(

@@ -8,8 +8,8 @@ from creaseline.operators import (
     archetypes, clones, form, lookup, matchups, phases, pressure, rollups, styles, summary, venues,
 )
 from creaseline.params import Params
-from creaseline.plans.build import build_tables
-from creaseline.plans.sink import table_report, write_tables
+from creaseline.plans.build import FACT_COLUMNS, build_tables
+from creaseline.plans.sink import read_table, table_report, write_tables
 from creaseline.schema import DELIVERY_COLUMNS
 from creaseline.sources import testdata
 from creaseline.sources.deliveries import read_deliveries
@@ -171,9 +171,17 @@ def bowling_archetypes(spark, d):
     return archetypes.with_archetypes(bowler_phase_stats(spark, d), PARAMS)
 
 
+def bowling_archetype_join(spark, d):
+    """The joined bowler_phase_stats table without the label itself."""
+    return bowling_archetypes(spark, d).drop("bowling_archetype")
+
+
 def table_lookup(spark, d):
     """Every supplier's death-over row, asked for in one batch of the stored table."""
-    table = written(bowler_phase_stats(spark, d), "bowler-phase")
+    path = scratch_path(spark, "lookup-tables")
+    labelled = bowler_phase_stats(spark, d).withColumn("bowling_archetype", F.lit("unknown"))
+    write_tables({"bowler_phase_stats": labelled}, path)
+    table = read_table(spark, path, "bowler_phase_stats", by="phase").drop("bowling_archetype")
     requests = spark.read.parquet(f"{d}/supplier.parquet").select(
         F.col("s_name").alias("bowler"), F.lit("death").alias("phase")
     )
@@ -230,7 +238,7 @@ def ingest_match_info(spark, d):
 def table_report_query(spark, d):
     """All eight tables built, stored and counted from storage."""
     path = scratch_path(spark, "tables")
-    deliveries = written(fact(spark, d, "striker", "bowler", "season"), "fact")
+    deliveries = written(fact(spark, d, "striker", "bowler").select(*FACT_COLUMNS), "fact")
     write_tables(build_tables(deliveries, testdata.match_info(spark, d), PARAMS), path)
     return table_report(spark, path)
 
@@ -259,6 +267,7 @@ QUERIES = {
     "player_clones": player_clones,
     "archetype_features": archetype_features,
     "bowling_archetypes": bowling_archetypes,
+    "bowling_archetype_join": bowling_archetype_join,
     "table_lookup": table_lookup,
     "matchup_with_fallback": matchup_with_fallback,
     "delivery_features": delivery_features,

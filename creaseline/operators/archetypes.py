@@ -28,7 +28,7 @@ CLAIMS = [
 OTHER_LABEL = "allrounder"
 NO_LABEL = "unknown"
 
-_BOWLERS_PER_PARTITION = 50_000
+_PARTITIONS = 16  # of the career rows, whatever their number: the fit depends on their layout
 
 
 def archetype_features(phase_stats: DataFrame) -> DataFrame:
@@ -61,18 +61,17 @@ def archetypes(phase_stats: DataFrame, params: Params = Params()) -> DataFrame:
     """(bowler, bowling_archetype). Runs jobs: the clustering is fitted here.
 
     The best of several seeded fits is kept. Their outcome depends on how rows are laid out, so the
-    layout follows from the bowlers alone: hashed to a count-derived number of partitions, sorted.
+    layout follows from the bowlers alone: hashed to a fixed number of partitions, sorted.
     """
     career = written(archetype_features(phase_stats), "career")
     count = career.count()
     if count < params.archetypes:
         return career.select("bowler", F.lit(NO_LABEL).alias("bowling_archetype"))
-    partitions = -(-count // _BOWLERS_PER_PARTITION)
     points = written(
         standardised(career.withColumnRenamed("bowler", "player"), FEATURES, "bowler"), "scaled"
     )
     points = (
-        points.repartition(partitions, "player")
+        points.repartition(_PARTITIONS, "player")
         .sortWithinPartitions("player")
         .select("player", "z", array_to_vector("z").alias("features"))
         .persist()

@@ -3,19 +3,29 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creaseline.sources.storage import written
+
 _MEASURES = [
     "balls_faced", "runs_scored", "dismissals", "dot_balls", "fours", "sixes", "strike_rate",
     "average", "dot_pct", "boundary_pct", "dismissal_rate_wilson_lower",
 ]
 
 
+BROADCAST_REQUESTS = 500_000  # distinct requests (short keys) that may be broadcast
+
+
 def lookup(table: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of `table` for each distinct request; the request's columns are the key.
 
-    A request without a match yields one row with NULL measures.
+    A request without a match yields one row with NULL measures. Up to a fixed number of requests
+    are broadcast to a scan of the table, whose few hits then meet the requests; more are joined
+    by shuffle.
     """
     keys = requests.columns
-    return requests.distinct().join(table, keys, "left")
+    asked = written(requests.distinct(), "requests")
+    small = asked.count() <= BROADCAST_REQUESTS
+    hits = table.join(F.broadcast(asked) if small else asked, keys)
+    return asked.join(hits, keys, "left")
 
 
 def lookup_one(table: DataFrame, **key) -> DataFrame:
@@ -34,21 +44,21 @@ def matchup_with_fallback(
     (1.0, rank 0), a clone, or nowhere (NULL). Only missing pairs meet the clones.
     """
     pair = ["batter", "bowler"]
-    asked = requests.select(*pair).distinct()
-    hits = asked.join(matchups, pair).selectExpr(
+    found = written(lookup(matchups, requests.select(*pair)), "asked-pairs")
+    hits = found.filter("balls_faced IS NOT NULL").selectExpr(
         *pair, "batter AS source_batter", "1D AS similarity", "0 AS clone_rank", *_MEASURES
     )
     twins = clones.filter("role = 'batter'").selectExpr(
         "player AS batter", "clone AS source_batter", "similarity", "clone_rank"
     )
     stand_ins = matchups.selectExpr("batter AS source_batter", "bowler", *_MEASURES)
-    found = ", ".join(["clone_rank", "source_batter", "similarity", *_MEASURES])
+    best = ", ".join(["clone_rank", "source_batter", "similarity", *_MEASURES])
     misses = (
-        asked.join(matchups, pair, "left_anti")
+        found.filter("balls_faced IS NULL").select(*pair)
         .join(twins, "batter", "left")
         .join(stand_ins, ["source_batter", "bowler"], "left")
         .groupBy(*pair)
-        .agg(F.expr(f"min(struct({found})) FILTER (WHERE balls_faced IS NOT NULL) AS best"))
+        .agg(F.expr(f"min(struct({best})) FILTER (WHERE balls_faced IS NOT NULL) AS best"))
         .select(*pair, "best.source_batter", "best.similarity", "best.clone_rank",
                 *[f"best.{name}" for name in _MEASURES])
     )

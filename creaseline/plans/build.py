@@ -28,6 +28,13 @@ from creaseline.sources.match_info import read_match_info
 from creaseline.sources.storage import run_folder, written
 
 
+# All that the tables read of a delivery; nothing else is stored.
+FACT_COLUMNS = [
+    "match_id", "venue", "innings", "striker", "bowler", "phase", "over_int", "runs_off_bat",
+    "runs_conceded", "is_legal", "is_wicket", "is_batter_out", "is_dot", "is_boundary4", "is_boundary6",
+]
+
+
 def build_tables(
     fact: DataFrame, info: DataFrame | None = None, params: Params = Params()
 ) -> dict[str, DataFrame]:
@@ -77,6 +84,6 @@ def run(
     with run_folder(spark):
         source = read_deliveries(spark, matches_dir)
         info = written(read_match_info(spark, matches_dir, source.loaded), "match-info")
-        fact = written(enrich(source.deliveries), "fact")
+        fact = written(enrich(source.deliveries).select(*FACT_COLUMNS), "fact")
         tables = build_tables(fact, None if info.isEmpty() else info, params)
         return write_tables(tables, out_dir)

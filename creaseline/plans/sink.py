@@ -26,7 +26,7 @@ LAYOUT = {
 # Second copies for the access paths that the main order does not serve.
 SECOND_LAYOUT = {
     "matchups_1v1": ["bowler", "batter"],
-    "bowler_phase_stats": ["bowling_archetype", "phase", "bowler"],
+    "bowler_phase_stats": ["phase", "bowling_archetype", "bowler"],
     "batter_phase_stats": ["phase", "batter"],
     "batter_vs_bowling_style": ["bowling_style", "batter"],
     "player_clones": ["role", "player", "clone_rank"],

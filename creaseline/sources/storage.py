@@ -5,7 +5,6 @@ Results that several later jobs read are written once as Parquet into the shared
 size lets Spark choose join strategies from facts.
 """
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,19 +17,27 @@ _run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only in local mode with none set."""
+    """The shared folder of this session: `spark.checkpoint.dir`, else one in the warehouse."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="creaseline-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/creaseline/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediates of this session. Results that were not stored cannot be read on."""
+    _delete(spark, _session_folder(spark))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    folder = _run_folder.get() or f"{shared_dir(spark)}/creaseline"
+    folder = _run_folder.get() or _session_folder(spark)
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
@@ -46,8 +53,7 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _run_folder.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(spark, folder)
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 import tempfile
 
@@ -13,6 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="creaseline-tests-")
     session = (
         SparkSession.builder.master("local[4]")
         .appName("creaseline-tests")
@@ -20,12 +22,13 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="creaseline-tests-"))
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree(folder)
 
 
 DEFAULTS = {
