@@ -11,9 +11,10 @@ lines: the first one, by key and then by line number.
    each bin is the signature (one-permutation MinHash); a sentinel at each bin's end stands in for
    an empty bin. Two bins make a band. Lines that differ by replaced words and are at the threshold
    share one of the twelve bands with a chance of over 99 percent.
-2. Equal lines become one row, with partial aggregation, before anything is compared.
-3. Within a band's bucket each line is paired with the bucket's first line and with its predecessor,
-   so a bucket of n lines gives fewer than 2n candidates.
+2. Equal lines become one row with a count, by partial aggregation, before anything is compared.
+3. Within a band's bucket each line is paired with the most frequent one: of a group of copies with
+   changes the original, which is near all of them though they are not near each other. So a bucket
+   of n lines gives fewer than n candidates.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets, and the links left
    go through star contraction.
 
@@ -79,17 +80,14 @@ def with_bands(lines: DataFrame) -> DataFrame:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line hashes that share a bucket with its first line or stand next."""
+    """Distinct pairs (a, b) of line hashes: b shares a bucket in which a is the most frequent."""
     names = [f"b{band}" for band in range(BANDS)]
     hashed = with_bands(lines.select("line")).select(F.xxhash64("line").alias("hash"), *names)
-    equal = hashed.groupBy("hash").agg(*[F.min(n).alias(n) for n in names])
-    spread = equal.select("hash", F.explode(F.array(*names)).alias("band")).filter("band IS NOT NULL")
-    order = Window.partitionBy("band").orderBy("hash")
-    near = spread.select(
-        "hash", F.first("hash").over(order).alias("first"), F.lag("hash").over(order).alias("previous")
-    ).filter("previous IS NOT NULL")
-    pairs = near.select(F.col("hash").alias("b"), F.explode(F.array("first", "previous")).alias("a"))
-    return pairs.select("a", "b").distinct()
+    equal = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), *[F.min(n).alias(n) for n in names])
+    spread = equal.select("hash", "n", F.explode_outer(F.array(*names)).alias("band")).filter("band IS NOT NULL")
+    order = Window.partitionBy("band").orderBy(F.desc("n"), "hash")
+    near = spread.select(F.col("hash").alias("b"), F.first("hash").over(order).alias("a"))
+    return near.filter("a <> b").distinct()
 
 
 def links(lines: DataFrame) -> DataFrame:
@@ -103,14 +101,27 @@ def links(lines: DataFrame) -> DataFrame:
     one = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"), F.col("units").alias("units_a"))
     two = texts.select(F.col("hash").alias("b"), F.col("line").alias("line_b"), F.col("units").alias("units_b"))
     both = pairs.join(one, "a").join(two, "b")
-    sets = both.select(
-        "line_a", "line_b", *[
-            F.array_distinct(_shingles(F.col(f"units_{x}"), F.hex)).alias(f"set_{x}") for x in "ab"
-        ]
-    )
-    shared = sets.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    similar = shared.filter(F.col("shared") >= SIMILARITY * (F.size("set_a") + F.size("set_b") - F.col("shared")))
-    return similar.select(_digest(F.col("line_a")).alias("a"), _digest(F.col("line_b")).alias("b"))
+    # Sets of hashes are quick to compare and hardly ever let a pair through that the shingles
+    # themselves, compared next, do not.
+    close = _similar(both, lambda s: F.xxhash64(s))
+    return _similar(close, F.hex).select(_digest(F.col("line_a")).alias("a"), _digest(F.col("line_b")).alias("b"))
+
+
+def _similar(pairs: DataFrame, make) -> DataFrame:
+    """The pairs whose sets of `make` of each shingle are similar enough.
+
+    The sets are bound to lambda variables, so that each is made once although it is used thrice.
+    """
+    def enough(sizes):
+        return sizes["s"] >= SIMILARITY * (sizes["a"] + sizes["b"] - sizes["s"])
+
+    def compared(sets):
+        shared = F.size(F.array_intersect(sets["a"], sets["b"]))
+        sizes = F.struct(F.size(sets["a"]).alias("a"), F.size(sets["b"]).alias("b"), shared.alias("s"))
+        return F.exists(F.array(sizes), enough)
+
+    sets = F.struct(*[F.array_distinct(_shingles(F.col(f"units_{x}"), make)).alias(x) for x in "ab"])
+    return pairs.filter(F.exists(F.array(sets), compared))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
