@@ -35,7 +35,7 @@ from creaseline.sources.storage import written
 
 WINDOW = 50
 ANCHOR = 16
-BUCKET_BYTES = 16 << 20  # text whose anchors share a bucket
+BUCKET_BYTES = 8 << 20  # text whose anchors share a bucket
 _PACK = 2_000_000  # anchors held before they are packed
 _SUFFIXES = 1 << 15  # bytes sorted together
 _SPANS = "id long, digest long, at int, more int"
@@ -195,19 +195,23 @@ def _repeated(table: pa.Table) -> pa.Table:
     })
 
 
-def _window_hashes(data: bytes, count: int) -> np.ndarray:
-    """Hashes of the first `count` windows of a span."""
-    words = _words(np.frombuffer(data + bytes(8), dtype=np.uint8))
-    h = np.zeros(count, dtype=np.uint64)
+def _window_hashes(joined: bytes, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at the positions."""
+    words = _words(np.frombuffer(joined + bytes(8), dtype=np.uint8))
+    h = np.zeros(len(at), dtype=np.uint64)
     for offset in (0, 8, 16, 24, 32, 40, WINDOW - 8):
-        h = _mixed(h ^ words[offset : offset + count], words[offset : offset + count] + np.uint64(offset))
+        word = words[at + offset]
+        h = _mixed(h ^ word, word + np.uint64(offset))
     return h
 
 
 def shared_windows(anchors: list[int], ids: list[int], data: list[bytes]) -> list[list[tuple[int, int]]]:
     """Of each span, the runs (first window, further windows) that occur in a smaller document."""
-    counts = [len(d) - WINDOW + 1 for d in data]
-    hashes = np.concatenate([_window_hashes(d, c) for d, c in zip(data, counts)])
+    lengths = np.array([len(d) for d in data])
+    many = lengths - WINDOW + 1
+    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    hashes = _window_hashes(b"".join(data), np.repeat(np.cumsum(lengths) - lengths, many) + inner)
+    counts = many.tolist()
     group = np.repeat(np.unique(anchors, return_inverse=True)[1], counts)
     owner = np.repeat(np.array(ids), counts)
     order = np.lexsort((owner, hashes, group))
@@ -219,12 +223,11 @@ def shared_windows(anchors: list[int], ids: list[int], data: list[bytes]) -> lis
     shared[order] = np.repeat(low < high, size)
     # Trim each span to what it may share; equal rests of one anchor are one.
     rests: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-    upto = 0
-    for n, (name, piece, count) in enumerate(zip(anchors, data, counts)):
-        at = np.flatnonzero(shared[upto : upto + count])
-        upto += count
-        if len(at):
-            rests.setdefault((name, piece[at[0] : at[-1] + WINDOW]), []).append((n, int(at[0])))
+    span_of, place_in = np.repeat(np.arange(len(data)), many)[shared], inner[shared]
+    firsts = np.flatnonzero(np.diff(span_of, prepend=-1))
+    lasts = np.append(firsts[1:], len(span_of)) - 1
+    for n, a, b in zip(span_of[firsts].tolist(), place_in[firsts].tolist(), place_in[lasts].tolist()):
+        rests.setdefault((anchors[n], data[n][a : b + WINDOW]), []).append((n, a))
     keys = sorted(rests)
     least = [min(ids[n] for n, _ in rests[k]) for k in keys]
     first_with: list[list[int]] = [[0] * (len(k[1]) - WINDOW + 1) for k in keys]
@@ -236,10 +239,10 @@ def shared_windows(anchors: list[int], ids: list[int], data: list[bytes]) -> lis
             _least_ids(held, keys, least, first_with)
             held, size = [], 0
     out: list[list[tuple[int, int]]] = [[] for _ in data]
-    for key, firsts in zip(keys, first_with):
+    for key, found in zip(keys, first_with):
         for n, offset in rests[key]:
             runs = out[n]
-            for at, first in enumerate(firsts, offset):
+            for at, first in enumerate(found, offset):
                 if first < ids[n]:
                     if runs and sum(runs[-1]) + 1 == at:
                         runs[-1] = (runs[-1][0], runs[-1][1] + 1)
