@@ -75,7 +75,7 @@ def _rarity(texts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def index(windows: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row per window: the hash of its rarest token, that token's offset, and all tokens."""
+    """One row per window: the hash of its rarest token, that token's offset, its length and text."""
     different = windows.select("window", "tokens").distinct()
     tokens = written(different.select(F.explode("tokens").alias("token")).distinct(), "benchmark-tokens")
     uses = written(_rarity(texts, tokens), "benchmark-rarity")
@@ -85,7 +85,8 @@ def index(windows: DataFrame, texts: DataFrame) -> DataFrame:
     )
     # A window with a word that no document has cannot occur.
     return different.join(rarest.filter("prefix.uses > 0"), "window").select(
-        "window", "tokens", F.xxhash64("prefix.token").alias("hash"), F.col("prefix.offset").alias("offset")
+        "window", F.size("tokens").alias("length"), F.concat_ws(" ", "tokens").alias("passage"),
+        F.xxhash64("prefix.token").alias("hash"), F.col("prefix.offset").alias("offset"),
     )
 
 
@@ -95,11 +96,13 @@ def occurrences(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataF
     spread = texts.select("id", "digest", "words", F.posexplode_outer("words").alias("at", "word"))
     spread = spread.select("id", "digest", "words", "at", F.xxhash64(lowered(F.col("word"))).alias("hash"))
     start = F.col("at") - F.col("offset")
+    # Words hold no blank, so the joined words are equal only if each one is. Without lambdas the
+    # join stays in generated code, and no row carries its document's words beyond it.
+    place = F.array_join(F.slice("words", start + 1, F.col("length")), " ")
     met = [
         spread.join(part, "hash")
-        .filter((start >= 0) & (start + F.size("tokens") <= F.size("words")))
-        .filter(F.transform(F.slice("words", start + 1, F.size("tokens")), lowered) == F.col("tokens"))
-        .select("id", "digest", "window", start.alias("start"), F.size("tokens").alias("length"))
+        .filter((start >= 0) & (start + F.col("length") <= F.size("words")) & (lowered(place) == F.col("passage")))
+        .select("id", "digest", "window", start.alias("start"), "length")
         for part in _parts(found, "hash")
     ]
     empty = texts.select("id", "digest", F.lit("").alias("window"), F.lit(0).alias("start"), F.lit(0).alias("length")).limit(0)
