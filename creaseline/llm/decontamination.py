@@ -71,7 +71,8 @@ def _rarity(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     spoken = spoken.withColumn("hash", F.xxhash64("token"))
     wanted = tokens.withColumn("hash", F.xxhash64("token")).withColumnRenamed("token", "wanted")
     met = [spoken.join(part, "hash").filter("token = wanted").groupBy("token").count() for part in _parts(wanted, "hash")]
-    return _union(met).select("token", F.col("count").alias("uses"))
+    empty = texts.select(F.lit("").alias("token"), F.lit(0).cast("bigint").alias("count")).limit(0)
+    return _union(met or [empty]).select("token", F.col("count").alias("uses"))
 
 
 def index(windows: DataFrame, texts: DataFrame) -> DataFrame:
