@@ -36,7 +36,7 @@ from creaseline.llm.workers import kept, slices
 
 SPACE = "▁"
 REMEMBERED_CHARS = 48
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 @dataclass
