@@ -5,12 +5,11 @@ Lines are similar if their sets of five-character shingles (UTF-16 units; a shor
 shingle) have a Jaccard similarity of at least 0.8. One line stays of each component of similar
 lines: the first one, by key and then by line number.
 
-1. A signature is drawn from the character strings of length 16 that begin at words (or at any letter
-   of a script without case, which may write without blanks). Unrelated lines hardly share one of
-   these, so short bands are selective. The hash range is cut into 24 bins, and the least hash of
-   each bin is the signature (one-permutation MinHash); a sentinel at each bin's end stands in for
-   an empty bin. Two bins make a band. Lines that differ by replaced words and are at the threshold
-   share one of the twelve bands with a chance of over 99 percent.
+1. A signature is drawn from the hashes of all shingles. The hash range is cut into 56 bins, and the
+   least hash of each bin is the signature (one-permutation MinHash); a sentinel at each bin's end
+   stands in for an empty bin. Four bins make a band. A bin agrees with a chance of at least the
+   similarity, so lines at the threshold share one of the fourteen bands with a chance of 99.9
+   percent; in a short line each shingle has a bin, and a changed end spoils only its own bands.
 2. Equal lines become one row with a count, by partial aggregation, before anything is compared.
 3. Within a band's bucket each line is paired with the most frequent one: of a group of copies with
    changes the original, which is near all of them though they are not near each other. So a bucket
@@ -33,12 +32,10 @@ from creaseline.sources.storage import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 12
-BAND_BINS = 2
-SIGNED = 16  # characters of a string that is hashed for the signature
+BANDS = 14
+BAND_BINS = 4
 BROADCAST_ROWS = 1_000_000  # line hashes (8 bytes) that may be broadcast; more are joined by shuffle
 _BINS = BANDS * BAND_BINS
-_ANCHORED = rf"(?s)(?:^|(?<=\s)|(?=\p{{Lo}}))(?=(.{{1,{SIGNED}}}))"
 # The largest hash of each bin; bins cut the range of 64-bit hashes evenly.
 _SENTINELS = [((-(-(b + 1) * (1 << 32) // _BINS) - 1 - (1 << 31)) << 32) + (1 << 32) - 1 for b in range(_BINS)]
 
@@ -64,9 +61,10 @@ def _shingles(units: Column, make) -> Column:
 
 def with_bands(lines: DataFrame) -> DataFrame:
     """`lines` with one hash per band, b0 and so on; null where all bins of the band are empty."""
-    anchored = lines.withColumn("strings", F.regexp_extract_all("line", F.lit(_ANCHORED), F.lit(1)))
     sentinels = F.expr(f"array({', '.join(f'{h}L' for h in _SENTINELS)})")
-    hashed = anchored.withColumn("hashes", F.sort_array(F.concat(F.transform("strings", lambda s: F.xxhash64(s)), sentinels)))
+    units = lines.withColumn("units", F.encode("line", "UTF-16BE"))
+    shingled = units.withColumn("hashes", _shingles(F.col("units"), lambda s: F.xxhash64(s)))
+    hashed = shingled.withColumn("hashes", F.sort_array(F.concat("hashes", sentinels)))
     bin_of = "shiftright((shiftright({h}, 32) + {half}L) * {bins}, 32)".replace("{half}", str(1 << 31)).replace("{bins}", str(_BINS))
     here, before = bin_of.replace("{h}", "h"), bin_of.replace("{h}", "hashes[i - 1]")
     least = hashed.withColumn("bins", F.expr(f"filter(hashes, (h, i) -> i = 0 OR {here} <> {before})"))
@@ -76,7 +74,7 @@ def with_bands(lines: DataFrame) -> DataFrame:
         bins = f"slice(bins, {own[0] + 1}, {BAND_BINS})"
         empty = f"array({', '.join(f'{_SENTINELS[b]}L' for b in own)})"
         bands[f"b{band}"] = F.expr(f"IF({bins} <> {empty}, xxhash64({band}, {bins}), NULL)")
-    return least.withColumns(bands).drop("strings", "hashes", "bins")
+    return least.withColumns(bands).drop("units", "hashes", "bins")
 
 
 def candidates(lines: DataFrame) -> DataFrame:

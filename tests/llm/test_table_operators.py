@@ -138,6 +138,17 @@ def test_line_cases(spark):
     assert lines.judge(docs.limit(0)).count() == 0
 
 
+def test_lines_with_changed_ends(spark):
+    url = "https://example.com/" + "abcdefghij" * 9
+    pairs = [("Share this page", "Share this page."), ("Advertisement", "Advertisements"), ("Privacy Policy", "Privacy Policy."),
+             ("Read more here", "Read more here!"), (url + "k", "X" + url[1:] + "k"), ("日本語の文章には空白がない", "日本語の文章には空白がない。")]
+    rows = [(n, line) for n, line in enumerate(line for pair in pairs for line in pair)]
+    gone = plain_lines(rows)
+    found = {r["doc_id"]: set(r["removed"]) for r in lines.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(gone) == len(pairs)
+    assert {k: v for k, v in found.items() if v} == gone
+
+
 # --- WARC ---------------------------------------------------------------------------------------
 
 def test_archives_round_trip(spark, tmp_path):
