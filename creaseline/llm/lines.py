@@ -11,9 +11,10 @@ lines: the first one, by key and then by line number.
    similarity, so lines at the threshold share one of the fourteen bands with a chance of 99.9
    percent; in a short line each shingle has a bin, and a changed end spoils only its own bands.
 2. Equal lines become one row with a count, by partial aggregation, before anything is compared.
-3. Within a band's bucket each line is paired with the most frequent one: of a group of copies with
-   changes the original, which is near all of them though they are not near each other. So a bucket
-   of n lines gives fewer than n candidates.
+3. Within a band's bucket each line is first compared with the most frequent one: of a group of copies
+   with changes the original, which is near all of them though they are not near each other. The links
+   found give first components. Then all pairs of lines of a bucket that are not yet in one component
+   are compared, whatever the size of the bucket; its members come in blocks, so hot buckets spread.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets, and the links left
    go through star contraction.
 
@@ -24,7 +25,7 @@ that share a key count as one document, so repeated rows are decided alike; a nu
 a document may lose all of its lines, and then has an empty text.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.llm.components import components
@@ -34,6 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 14
 BAND_BINS = 4
+BLOCKS = 16  # parts of a component's lines in one bucket, so that none is one row
 BROADCAST_ROWS = 1_000_000  # line hashes (8 bytes) that may be broadcast; more are joined by shuffle
 _BINS = BANDS * BAND_BINS
 # The largest hash of each bin; bins cut the range of 64-bit hashes evenly.
@@ -77,38 +79,65 @@ def with_bands(lines: DataFrame) -> DataFrame:
     return least.withColumns(bands).drop("units", "hashes", "bins")
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line hashes: b shares a bucket in which a is the most frequent."""
+def members(lines: DataFrame) -> DataFrame:
+    """(band, hash, pivot): different lines of each bucket with several; the pivot is the most frequent."""
     names = [f"b{band}" for band in range(BANDS)]
     hashed = with_bands(lines.select("line")).select(F.xxhash64("line").alias("hash"), *names)
     equal = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), *[F.min(n).alias(n) for n in names])
     spread = equal.select("hash", "n", F.explode_outer(F.array(*names)).alias("band")).filter("band IS NOT NULL")
-    order = Window.partitionBy("band").orderBy(F.desc("n"), "hash")
-    near = spread.select(F.col("hash").alias("b"), F.first("hash").over(order).alias("a"))
-    return near.filter("a <> b").distinct()
+    spread = written(spread, "line-bands")
+    best = F.max(F.struct(F.col("n"), F.col("hash")))
+    buckets = spread.groupBy("band").agg(best["hash"].alias("pivot"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    return written(spread.join(buckets.drop("several"), "band").select("band", "hash", "pivot"), "line-members")
+
+
+def unlinked_pairs(found: DataFrame, tied: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of hashes that share a bucket but no component of `tied`, save those with the pivot."""
+    known = tied.select(F.col("node").alias("hash"), "component")
+    named = found.join(known, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    blocks = named.join(mixed.select("band"), "band").groupBy(
+        "band", "component", "pivot", F.pmod(F.xxhash64("hash"), F.lit(BLOCKS)).alias("block")
+    ).agg(F.collect_list("hash").alias("own"))
+    blocks = written(blocks, "line-blocks")
+    one = blocks.select("band", "pivot", F.col("component").alias("c"), F.col("own").alias("own_a"))
+    two = blocks.select("band", F.col("component").alias("d"), F.col("own").alias("own_b"))
+    facing = one.join(two, "band").filter("c < d")
+    spread = facing.select("pivot", "own_b", F.explode("own_a").alias("a")).select("pivot", "a", F.explode("own_b").alias("b"))
+    return spread.filter("a <> pivot AND b <> pivot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(lines: DataFrame) -> DataFrame:
-    """(a, b): digests of different lines whose similarity reaches the threshold."""
-    pairs = written(candidates(lines), "line-candidates")
+    """(a, b): digests of different lines whose similarity reaches the threshold; they span the components."""
+    found = members(lines)
+    first = found.filter("hash <> pivot").select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct()
+    near = written(_verified(lines, first), "line-links")
+    rest = _verified(lines, unlinked_pairs(found, components(near)))
+    return near.union(rest).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+
+
+def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, digest_a, digest_b) of the pairs of hashes whose similarity reaches the threshold."""
+    pairs = written(pairs, "line-candidates")
     asked = pairs.select(F.col("a").alias("hash")).union(pairs.select(F.col("b").alias("hash"))).distinct()
     asked = written(asked, "line-asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = lines.select(F.xxhash64("line").alias("hash"), "line").join(asked, "hash", "left_semi")
-    texts = written(texts.distinct().withColumn("units", F.encode("line", "UTF-16BE")), "line-texts")
-    one = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"), F.col("units").alias("units_a"))
-    two = texts.select(F.col("hash").alias("b"), F.col("line").alias("line_b"), F.col("units").alias("units_b"))
+    texts = written(texts.distinct(), "line-texts")
+    one = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"))
+    two = texts.select(F.col("hash").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(one, "a").join(two, "b")
     # Sets of hashes are quick to compare and hardly ever let a pair through that the shingles
     # themselves, compared next, do not.
     close = _similar(both, lambda s: F.xxhash64(s))
-    return _similar(close, F.hex).select(_digest(F.col("line_a")).alias("a"), _digest(F.col("line_b")).alias("b"))
+    return _similar(close, F.hex).select("a", "b", *[_digest(F.col(f"line_{x}")).alias(f"digest_{x}") for x in "ab"])
 
 
 def _similar(pairs: DataFrame, make) -> DataFrame:
     """The pairs whose sets of `make` of each shingle are similar enough.
 
-    The sets are bound to lambda variables, so that each is made once although it is used thrice.
+    Encoded lines and sets are bound to lambda variables, so that each is made once although it is
+    used often, and only lines are shuffled.
     """
     def enough(sizes):
         return sizes["s"] >= SIMILARITY * (sizes["a"] + sizes["b"] - sizes["s"])
@@ -118,8 +147,11 @@ def _similar(pairs: DataFrame, make) -> DataFrame:
         sizes = F.struct(F.size(sets["a"]).alias("a"), F.size(sets["b"]).alias("b"), shared.alias("s"))
         return F.exists(F.array(sizes), enough)
 
-    sets = F.struct(*[F.array_distinct(_shingles(F.col(f"units_{x}"), make)).alias(x) for x in "ab"])
-    return pairs.filter(F.exists(F.array(sets), compared))
+    def sets(units):
+        return F.struct(*[F.array_distinct(_shingles(units[x], make)).alias(x) for x in "ab"])
+
+    units = F.struct(*[F.encode(f"line_{x}", "UTF-16BE").alias(x) for x in "ab"])
+    return pairs.filter(F.exists(F.array(units), lambda u: F.exists(F.array(sets(u)), compared)))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

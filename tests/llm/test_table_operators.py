@@ -149,6 +149,29 @@ def test_lines_with_changed_ends(spark):
     assert {k: v for k, v in found.items() if v} == gone
 
 
+def test_lines_far_from_the_most_frequent(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(400)]
+    pivot = " ".join(words[:40])
+    rows = [(n, pivot) for n in range(50)]
+    for n in range(60):  # two near copies each, that share two thirds of their words with the pivot
+        own = " ".join(words[:28] + rng.sample(words[40:], 12))
+        rows += [(100 + 2 * n, own), (101 + 2 * n, own + " end")]
+    gone = plain_lines(rows)
+    found = {r["doc_id"]: set(r["removed"]) for r in lines.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(gone) == 49 + 60
+    assert {k: v for k, v in found.items() if v} == gone
+
+
+def test_no_pair_of_a_bucket_is_left_out(spark):
+    rows = [(7, n, 0) for n in range(40)]
+    tied = spark.createDataFrame([(n, 1) for n in range(1, 20)], "node long, component long")
+    pairs = lines.unlinked_pairs(spark.createDataFrame(rows, "band long, hash long, pivot long"), tied)
+    own = {n: 1 if 1 <= n < 20 else n for n in range(40)}
+    expected = {(a, b) for a in range(1, 40) for b in range(a + 1, 40) if own[a] != own[b]}
+    assert sorted(map(tuple, pairs.collect())) == sorted(expected)
+
+
 # --- WARC ---------------------------------------------------------------------------------------
 
 def test_archives_round_trip(spark, tmp_path):
