@@ -6,6 +6,11 @@ sides, so a close pair is rarely torn apart. The trees are drawn on a bounded sa
 class is routed through all of them. Within each leaf all pairs are compared, in blocks and in double
 precision, so a link is never wrong; the many trees make a missed one rare.
 
+Trees tear a large group of near vectors apart, so such groups are found in the sample first. Around
+each lies a ball; whatever is linked to a vector inside is, by the triangle inequality of angles, at
+most the link's angle outside. So the vectors inside are compared with each other and with these
+visitors, in tiles of bounded size, and do not enter the trees; no link of theirs is missed.
+
 Each class knows all leaves that it is in. A pair is counted only in the first leaf that its two
 ends share, so the number of links is exact without ever listing the pairs. A leaf returns one row
 per member: the links counted there, and a link to the smallest member of its part of the leaf, which
@@ -29,10 +34,13 @@ from creaseline.llm.simhash import forest
 from creaseline.sources.storage import written
 
 COSINE = 0.9
-TREES = 6
+TREES = 6  # at least; as many as levels if these are more
 LEAF = 1024  # classes that a leaf should hold
 SPILL = 0.1  # share of a node on either side of its median that goes to both sides
 SAMPLE = 50_000  # classes, in expectation, that the trees are drawn on
+HOT = 4  # leaves that a group of near vectors fills before it gets a ball
+TILE = 8192  # classes of a ball that meet as many others in one task
+_PROBES = 4096  # members of the sample around which groups are looked for
 _BLOCK = 1 << 20
 
 
@@ -45,6 +53,15 @@ class Node:
     right: "Node | int"
 
 
+@dataclass
+class Ball:
+    centre: np.ndarray
+    inner: float  # angle up to which a vector is inside
+    outer: float  # angle up to which it visits
+    homes: int  # blocks of the vectors inside
+    guests: int
+
+
 def unit_rows(vectors: list[np.ndarray], width: int) -> np.ndarray:
     """Rows of length 1 in double precision, filled up with zeros."""
     out = np.zeros((len(vectors), width))
@@ -55,6 +72,82 @@ def unit_rows(vectors: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+def _angles(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ centre, -1, 1))
+
+
+def find_balls(sample: np.ndarray, share: float, cosine: float, least: float, tile: int) -> tuple[list[Ball], np.ndarray]:
+    """Balls around the groups of more than `least` classes, and the rest of the sample."""
+    link, balls, rng = math.acos(cosine), [], np.random.default_rng(29)
+    least = max(least * share, 8)
+    probes = sample if len(sample) <= _PROBES else sample[rng.choice(len(sample), _PROBES, replace=False)]
+    while len(sample) > least and len(probes):
+        slices_ = [probes[n : n + 256] for n in range(0, len(probes), 256)]
+        near = np.concatenate([(part @ sample.T >= cosine).sum(axis=1) for part in slices_])
+        if near.max() <= least:
+            break
+        probes = probes[near > least]  # what is removed only lowers the counts
+        group = sample[sample @ probes[near[near > least].argmax()] >= cosine]
+        centre = group.mean(axis=0)
+        centre /= np.linalg.norm(centre)
+        angles = np.sort(_angles(sample, centre))
+        radii = link * np.arange(4, 25) / 16
+        inside, reached = (np.searchsorted(angles, radii + more, side="right") for more in (0, link))
+        best = int(np.argmax(np.where(inside >= len(group) / 2, inside / (reached + 1), -1)))
+        homes, guests = (max(1, math.ceil(n / share / tile)) for n in (inside[best], reached[best] - inside[best]))
+        balls.append(Ball(centre, radii[best], radii[best] + link + 1e-6, homes, guests))
+        sample = sample[_angles(sample, centre) > radii[best]]
+        probes = probes[_angles(probes, centre) > radii[best]]
+    return balls, sample
+
+
+def place(balls: list[Ball], rows: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tile, block and place in `rows` of every copy, and which rows are in no ball.
+
+    A row visits only balls before its own, so a pair meets in one tile. `mixed` deals out the blocks.
+    """
+    free = np.ones(len(rows), dtype=bool)
+    tiles, blocks, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+    for n, ball in enumerate(balls):
+        angles = _angles(rows, ball.centre)
+        home = free & (angles <= ball.inner)
+        at, visiting = np.flatnonzero(home), np.flatnonzero(free & ~home & (angles <= ball.outer))
+        own, guest = mixed[at] % ball.homes, ball.homes + mixed[visiting] % ball.guests
+        for other in range(ball.homes + ball.guests):
+            met = [(at, own, np.full(len(at), other))]
+            if other < ball.homes:
+                met.append((visiting, guest, np.full(len(visiting), other)))
+            for who, block, facing in met:
+                tiles.append((n << 40) + (np.minimum(block, facing) << 20) + np.maximum(block, facing))
+                blocks.append(block.astype(np.int32))
+                places.append(who)
+        free &= ~home
+    return np.concatenate(tiles), np.concatenate(blocks), np.concatenate(places), free
+
+
+def tile_links(tile: int, blocks: np.ndarray, ids, counts, sizes, rows: np.ndarray, cosine: float):
+    """(id, links, smallest member linked) of a tile: pairs within its block, or across its two."""
+    n, (low, high) = len(ids), ((tile >> 20) & 0xFFFFF, tile & 0xFFFFF)
+    a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    links, label = np.zeros(n, dtype=np.int64), np.arange(n)
+    step = max(1, _BLOCK // max(len(b), 1))
+    for start in range(0, len(a), step):
+        part = a[start : start + step]
+        cosines = rows[part] @ rows[b].T
+        near = cosines >= cosine
+        i, j = np.nonzero(np.abs(cosines - cosine) < 1e-9)
+        near[i, j] = np.einsum("ij,ij->i", rows[part[i]], rows[b[j]]) >= cosine
+        near &= (sizes[part][:, None] == sizes[b]) & (part[:, None] != b)
+        links[part] += np.where(near, counts[b], 0).sum(axis=1)
+        if low != high:
+            links[b] += np.where(near, counts[part][:, None], 0).sum(axis=0)
+        i, j = np.nonzero(near & (label[part][:, None] != label[b]))
+        if len(i):
+            label = forest(n, np.concatenate([np.arange(n), part[i]]), np.concatenate([label, b[j]]))
+    told = np.flatnonzero((links > 0) | (label != np.arange(n)))
+    return ids[told], links[told], ids[label[told]]
+
+
 def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, counter: list[int]) -> "Node | int":
     if depth > 0 and len(sample) >= 16:
         direction = rng.standard_normal(sample.shape[1])
@@ -135,10 +228,37 @@ def class_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
     share = min(1.0, SAMPLE / max(total, 1))
     drawn = classes if share == 1.0 else classes.filter(F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = unit_rows([np.array(r[0]) for r in drawn.select("vector").collect()], width or 1)
+    balls, sample = find_balls(sample, share, cosine, HOT * leaf, TILE)
     depth = max(0, math.ceil(math.log2(max(total, 1) / leaf)))
     counter = [0]
-    roots = [grow(sample, depth, np.random.default_rng(seed), counter) for seed in range(trees)]
-    shared = classes.sparkSession.sparkContext.broadcast(roots)
+    roots = [grow(sample, depth, np.random.default_rng(seed), counter) for seed in range(max(trees, depth))]
+    shared = classes.sparkSession.sparkContext.broadcast((balls, roots))
+
+    def mixed(ids):
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64)
+
+    def deal(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                vectors = _vectors(part.column("vector"))
+                rows, ids = unit_rows(vectors, width), part.column("cid").to_numpy()
+                sizes = np.array([len(v) for v in vectors], dtype=np.int32)
+                tiles, blocks, at, _ = place(shared.value[0], rows, mixed(ids))
+                for begin in range(0, len(at), 20_000):
+                    cut = slice(begin, begin + 20_000)
+                    own = at[cut]
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * width), pa.array(rows[own].ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tiles[cut]), pa.array(blocks[cut]), pa.array(ids[own]), pa.array(part.column("n").to_numpy()[own]), pa.array(sizes[own]), flat],
+                        ["tile", "block", "cid", "n", "size", "vector"],
+                    )
+
+    def meet(table):
+        rows = table.column("vector").combine_chunks().flatten().to_numpy().reshape(table.num_rows, width)
+        columns = [table.column(c).to_numpy() for c in ("block", "cid", "n", "size")]
+        ids, links, tied = tile_links(table.column("tile")[0].as_py(), *columns, rows, cosine)
+        return pa.table({"cid": ids, "links": links, "tied": tied})
 
     def spread(batches):
         for batch in batches:
@@ -146,7 +266,12 @@ def class_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
                 part = batch.slice(start, 2000)
                 vectors = _vectors(part.column("vector"))
                 rows = unit_rows(vectors, width)
-                placed = [place for root in shared.value for place in route(root, rows)]
+                balls, roots = shared.value
+                free = np.flatnonzero(place(balls, rows, np.zeros(len(rows), dtype=np.int64))[3])
+                if not len(free):
+                    continue
+                part, rows, vectors = part.take(pa.array(free)), rows[free], [vectors[i] for i in free]
+                placed = [found for root in roots for found in route(root, rows)]
                 leaf_of = np.concatenate([np.full(len(at), name) for name, at in placed])
                 at = np.concatenate([at for _, at in placed])
                 order = np.lexsort((leaf_of, at))
@@ -177,7 +302,12 @@ def class_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
         return pa.table({"cid": ids, "links": links, "tied": tied})
 
     routed = classes.select("cid", "n", "vector").mapInArrow(spread, schema)
-    return routed.groupBy("leaf").applyInArrow(compare, "cid long, links long, tied long")
+    told = "cid long, links long, tied long"
+    found = routed.groupBy("leaf").applyInArrow(compare, told)
+    if not balls:
+        return found
+    dealt = classes.select("cid", "n", "vector").mapInArrow(deal, "tile long, block int, cid long, n long, size int, vector array<double>")
+    return found.union(dealt.groupBy("tile").applyInArrow(meet, told))
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:

@@ -244,6 +244,21 @@ def test_vector_cases(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_large_group_of_near_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 300)
+    rng = np.random.default_rng(31)
+    centre = rng.standard_normal(64)
+    spread = rng.standard_normal((1500, 64)) * np.linalg.norm(centre) / 8 * 0.29
+    vectors = np.concatenate([centre + spread, rng.standard_normal((700, 64)), -centre + spread[:900]])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    label = simhash.forest(len(unit), *np.nonzero(near))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in embeddings.near_duplicates(frame, leaf=16).collect()}
+    assert [found[i]["n_links"] for i in range(len(unit))] == (near.sum(axis=1) - 1).tolist()
+    assert [found[i]["component_id"] for i in range(len(unit))] == label.tolist()
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 def test_decontamination_equals_sql(spark, documents):
