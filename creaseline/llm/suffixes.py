@@ -9,6 +9,8 @@ A byte goes if it is covered by a 50-byte string that also starts in a document
    repeat may begin or end inside, and their bytes are fetched.
 3. Of these bytes, what no other span shares by window hash is trimmed away, equal rests are joined,
    and a suffix array over the rests brings equal windows together; they are compared byte by byte.
+   Spans of an anchor that very many share do not meet: their windows become rows, the least
+   document of each window's bytes is an aggregate, and it is joined to them.
 4. Removed windows are gathered by document and cut out of its text.
 
 Suffix arrays: suffixes are first grouped by their first byte. Groups are taken in descending order;
@@ -38,6 +40,7 @@ ANCHOR = 16
 BUCKET_BYTES = 8 << 20  # text whose anchors share a bucket
 _PACK = 2_000_000  # anchors held before they are packed
 _SUFFIXES = 1 << 15  # bytes sorted together
+HOT_SPANS = 1 << 14  # different places of one anchor above which its windows are compared as rows
 _SPANS = "id long, digest long, at int, more int"
 
 
@@ -324,16 +327,31 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds)], ["id", "digest", "at", "more"])
 
-    asked = found.filter("anchor IS NOT NULL").groupBy("id", "digest").agg(
-        F.collect_list(F.struct("at", "more", "anchor")).alias("asked")
-    )
-    fetched = packed(docs).join(asked, ["id", "digest"]).mapInArrow(fetch, "id long, digest long, at int, anchor long, data binary")
-    parts = fetched.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    def fetched(spans_):
+        asked = spans_.groupBy("id", "digest").agg(F.collect_list(F.struct("at", "more", "anchor")).alias("asked"))
+        rows = packed(docs).join(asked, ["id", "digest"])
+        return rows.mapInArrow(fetch, "id long, digest long, at int, anchor long, data binary")
+
+    asked = found.filter("anchor IS NOT NULL")
+    hot = written(asked.groupBy("anchor").count().filter(F.col("count") > HOT_SPANS).select("anchor"), "hot-anchors")
+    some = not hot.isEmpty()
+    parts = fetched(asked.join(hot, "anchor", "left_anti") if some else asked).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     edges = parts.groupBy("part").applyInArrow(compare, _SPANS)
+    if some:
+        edges = edges.union(repeated_windows(written(fetched(asked.join(hot, "anchor", "left_semi")), "hot-spans")))
     whole = found.filter("anchor IS NULL").select("id", "digest", "at", "more")
     return whole.union(edges)
 
 
+def repeated_windows(fetched: DataFrame) -> DataFrame:
+    """(id, digest, at, more): windows of the spans (id, digest, at, data) that a smaller document has."""
+    places = F.posexplode(F.expr(f"transform(sequence(0, octet_length(data) - {WINDOW}), i -> substr(data, i + 1, {WINDOW}))"))
+    windows = fetched.select("id", "digest", "at", places.alias("further", "window"))
+    ends = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    repeated = windows.join(ends, "window").filter("id > least")
+    return repeated.select("id", "digest", (F.col("at") + F.col("further")).cast("int").alias("at"), F.lit(0).alias("more"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(id, digest, packed): texts compressed before they are shuffled."""
     def pack(batches):

@@ -253,3 +253,17 @@ def test_repeats_of_no_rows(spark):
 def test_repeats_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert removal(docs) == plain_removal([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_spans_of_an_anchor_shared_by_many(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_SPANS", 20)
+    sizes, compared = [], suffixes.repeated_windows
+    monkeypatch.setattr(suffixes, "repeated_windows", lambda fetched: sizes.append(fetched.count()) or compared(fetched))
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    phrase = "".join(rng.choices(letters, k=60))
+    ends = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(40)]
+    rows = [(n % 110, "".join(rng.choices(letters, k=30)) + phrase + rng.choice(ends)) for n in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removal(frame) == plain_removal(rows)
+    assert sum(sizes) > 20
