@@ -31,6 +31,11 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate that nothing will read again."""
+    _delete(spark, path)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all intermediates of this session. Results that were not stored cannot be read on."""
     _delete(spark, _session_folder(spark))
