@@ -5,7 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from creaseline.llm import decontamination, embeddings, languages, lines, pieces, sharding, simhash, suffixes, transducer, warc
+from creaseline.llm import (
+    decontamination, embeddings, languages, lines, middles, pieces, sharding, simhash, suffixes, transducer, vector_codes,
+    vector_search, warc,
+)
 from creaseline.llm.oracles import ORACLES
 from creaseline.sources.storage import scratch_path
 
@@ -83,6 +86,24 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector coded by four codebooks, with its error and the codebooks' digest."""
+    coded, books = vector_codes.compress(spark.read.parquet(f"{d}/embeddings.parquet"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
+def op12_vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of every vector whose vec_id is divisible by 50."""
+    return vector_search.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op13_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, and rebuilt."""
+    return middles.digests(middles.transform(documents(spark, d).select("doc_id", "text")))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -96,5 +117,8 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_vector_search": op12_vector_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
