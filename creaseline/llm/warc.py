@@ -65,7 +65,7 @@ def records(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     long = rows.filter(F.octet_length("payload") >= REVISIT_BYTES)
     kept = long.groupBy("digest").agg(F.max(F.struct("page", "tag")).alias("kept"), F.count(F.lit(1)).alias("n"))
     kept = written(kept.filter("n > 1").drop("n"), "warc-kept")
-    rows = rows.withColumn("same", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.col("digest")))
+    rows = rows.withColumn("same", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.col("digest")).otherwise(F.col("tag").cast("string")))
     rows = rows.join(kept.withColumnRenamed("digest", "same"), "same", "left")
     first = F.col("kept").isNull() | (F.col("page").eqNullSafe(F.col("kept.page")) & (F.col("tag") == F.col("kept.tag")))
     rows = rows.withColumn("id", _record_id(F.col("page"), F.col("tag")))
