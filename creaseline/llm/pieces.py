@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creaseline.llm.workers import kept, slices
+from creaseline.llm.workers import kept, shipped, slices
 
 SPACE = "▁"
 REMEMBERED_CHARS = 48
@@ -133,6 +133,8 @@ class Encoder:
         for piece in model.usable:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        self.firsts = {piece[0] for piece in model.usable}
+        self.longest = max(map(len, model.usable), default=1)
         self.shorter = {piece: model.shorter(piece) for piece in model.usable}
         self.fits = Remembered(lambda pair: model.merged("".join(pair)) == list(pair), 2)
         self.fitting = Remembered(self.first_fitting, 2)
@@ -155,13 +157,16 @@ class Encoder:
         n = len(segment)
         failed = bytearray(n // 8 + 1)
         fitting, shorter, longest = self.fitting, self.shorter, self.automaton.iter_long
+        firsts, reach = self.firsts, self.longest
         taken: list[str] = []
         at, last, piece = 0, "", None
         while at < n:
             if piece is None:
-                end, piece = next(longest(segment, at), (-1, ""))
-                if not piece or end - len(piece) + 1 != at:
-                    piece = segment[at]
+                end, piece = -1, segment[at]
+                if piece in firsts:  # looked up first, as the search would run on to the next match
+                    end, piece = next(longest(segment, at, min(n, at + reach)), (-1, ""))
+                    if not piece or end - len(piece) + 1 != at:
+                        piece = segment[at]
             piece = fitting[last, piece]
             while piece and failed[(end := at + len(piece)) >> 3] >> (end & 7) & 1:
                 piece = fitting[last, shorter.get(piece, "")]
@@ -224,13 +229,13 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     Columns of `docs` called like a new column are replaced.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(PieceModel.load(model_path))
+    model = shipped(spark, PieceModel.load(model_path))
     keep = [c for c in docs.columns if c not in (ids, decoded)]
     rows = docs.select(*[f"`{c}`" for c in keep])
     schema = T.StructType([*rows.schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches):
-        encoder = kept(f"pieces {model_path}", lambda: Encoder(model.value))
+        encoder = kept(f"pieces {model_path}", lambda: Encoder(model()))
         for batch in slices(batches, text, 2 << 20):
             got = [encoder.text(t) for t in batch.column(text).to_pylist()]
             offsets = np.cumsum([0] + [len(g) // 4 for g in got]).astype(np.int32)
