@@ -4,5 +4,5 @@ import sys
 
 from pyspark import cloudpickle
 
-# Tasks get these functions by value, so executors need no copy of the package.
+# Tasks get these functions by value, and classes by `workers.shipped`, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from creaseline.llm.components import components
 from creaseline.llm.simhash import forest
+from creaseline.llm.workers import shipped
 from creaseline.sources.storage import written
 
 COSINE = 0.9
@@ -232,19 +233,20 @@ def class_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
     depth = max(0, math.ceil(math.log2(max(total, 1) / leaf)))
     counter = [0]
     roots = [grow(sample, depth, np.random.default_rng(seed), counter) for seed in range(max(trees, depth))]
-    shared = classes.sparkSession.sparkContext.broadcast((balls, roots))
+    shared = shipped(classes.sparkSession, (balls, roots))
 
     def mixed(ids):
         return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64)
 
     def deal(batches):
+        balls = shared()[0]
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 vectors = _vectors(part.column("vector"))
                 rows, ids = unit_rows(vectors, width), part.column("cid").to_numpy()
                 sizes = np.array([len(v) for v in vectors], dtype=np.int32)
-                tiles, blocks, at, _ = place(shared.value[0], rows, mixed(ids))
+                tiles, blocks, at, _ = place(balls, rows, mixed(ids))
                 for begin in range(0, len(at), 20_000):
                     cut = slice(begin, begin + 20_000)
                     own = at[cut]
@@ -261,12 +263,12 @@ def class_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
         return pa.table({"cid": ids, "links": links, "tied": tied})
 
     def spread(batches):
+        balls, roots = shared()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 vectors = _vectors(part.column("vector"))
                 rows = unit_rows(vectors, width)
-                balls, roots = shared.value
                 free = np.flatnonzero(place(balls, rows, np.zeros(len(rows), dtype=np.int64))[3])
                 if not len(free):
                     continue

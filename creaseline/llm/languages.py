@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creaseline.llm.workers import slices
+from creaseline.llm.workers import shipped, slices
 
 PER_LANGUAGE = 2000
 SLOTS = 1 << 16
@@ -155,10 +155,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         *rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("ambiguous", T.BooleanType()),
     ])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches):
-        model = shared.value
+        model = shared()
         for batch in slices(batches, text, 1 << 20):
             texts = batch.column(text).to_pylist()
             names, scores, doubts = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creaseline.llm.components import components
-from creaseline.llm.workers import slices
+from creaseline.llm.workers import shipped, slices
 from creaseline.sources.storage import written
 
 SHINGLE = 3
@@ -202,12 +202,13 @@ def print_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     share = min(1.0, SAMPLE / max(total, 1))
     drawn = prints if share == 1.0 else prints.filter(F.pmod(F.xxhash64("print"), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = np.array([r[0] for r in drawn.select("print").collect()], dtype=np.int64).view(np.uint64)
-    tree = prints.sparkSession.sparkContext.broadcast(VantageTree.build(np.sort(sample), shard * share, radius))
+    shared = shipped(prints.sparkSession, VantageTree.build(np.sort(sample), shard * share, radius))
 
     def route(batches):
+        tree = shared()
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
-            shards, at, home = tree.value.route(values)
+            shards, at, home = tree.route(values)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shards.astype(np.int64)), pa.array(values[at].view(np.int64)), pa.array(home.astype(bool))],
                 ["shard", "print", "home"],

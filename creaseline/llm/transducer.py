@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from creaseline.llm.workers import kept, slices
+from creaseline.llm.workers import kept, shipped, slices
 
 CHUNK = 2048
 MOST_STATES = 200_000
@@ -298,7 +298,7 @@ class Counter:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """`docs` with `n_bytes` (UTF-8) and `n_tokens` of each whole text, in place of the text."""
-    compiled = docs.sparkSession.sparkContext.broadcast(Compiled.load(tokenizer_path))
+    compiled = shipped(docs.sparkSession, Compiled.load(tokenizer_path))
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", text)]
     rows = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").alias("n_tokens"))
     schema = T.StructType(
@@ -306,7 +306,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Da
     )
 
     def run(batches):
-        counter = kept(f"transducer {tokenizer_path}", lambda: Counter(compiled.value))
+        counter = kept(f"transducer {tokenizer_path}", lambda: Counter(compiled()))
         for batch in slices(batches, "n_tokens", 4 << 20):
             column = batch.column(len(keep))
             size = pa.compute.fill_null(pa.compute.binary_length(column), 0).cast(pa.int64())

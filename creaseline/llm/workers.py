@@ -1,9 +1,22 @@
 """Small helpers for code that runs inside tasks."""
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
+
+
+def shipped(spark: SparkSession, value) -> Callable:
+    """A function by which tasks get `value`, sent once to each executor.
+
+    A plain broadcast names the classes of its value, so workers would have to import the package;
+    here they are sent along.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
 
 
 def kept(name: str, build: Callable):
