@@ -56,13 +56,15 @@ def _clean(field: Column) -> Column:
 def _fields(line: Column) -> Column:
     """A line's fields. Commas inside quotes belong to their field; if a quote stays open, every
     comma separates. Linear in the line's length."""
+    plain = F.split(F.btrim(line, F.lit(_SPACE)), ",")
     pieces = F.split(F.btrim(line, F.lit(_SPACE)), '"')
     quoted = F.transform(
         pieces,
         lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit(","), F.lit(_QUOTED_COMMA))).otherwise(piece),
     )
     closed = F.size(pieces) % 2 == 1
-    return F.transform(F.split(F.array_join(F.when(closed, quoted).otherwise(pieces), '"'), ","), _clean)
+    parts = F.split(F.array_join(F.when(closed, quoted).otherwise(pieces), '"'), ",")
+    return F.transform(F.when(F.contains(line, F.lit('"')), parts).otherwise(plain), _clean)
 
 
 def parse_info(lines: DataFrame) -> DataFrame:
@@ -71,7 +73,9 @@ def parse_info(lines: DataFrame) -> DataFrame:
     Keys never seen give "" (text) or NULL (numbers). Quoted commas belong to their field.
     """
     fields = (
-        lines.withColumn("parts", _fields(F.col("line")))
+        # The generator keeps the filter above it, so fields are worked out once a line.
+        lines.filter(F.contains("line", F.lit("info")))
+        .select("match_id", "at", F.explode_outer(F.array(_fields(F.col("line")))).alias("parts"))
         .filter((F.size("parts") >= 3) & (F.col("parts")[0] == "info"))
         .select(
             "match_id", "at", F.col("parts")[1].alias("key"), F.col("parts")[2].alias("value"),
