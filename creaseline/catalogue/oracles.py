@@ -447,6 +447,8 @@ ORACLES = {
     ),
     "bowler_phase_stats": _sql(_BOWLER_PHASE, "SELECT * FROM bps"),
     "bowling_archetype_join": _sql(_BOWLER_PHASE, "SELECT * FROM bps"),
+    # A clustering that has settled has no bowler nearer to another mean and no claim that fails.
+    "archetype_check": _sql(_BOWLER_PHASE, "SELECT DISTINCT bowler, true AS nearest_is_own, true AS claim_holds FROM bps"),
     "batter_phase_stats": _sql(_BATTER_PHASE, "SELECT * FROM tps"),
     "bowler_style": _sql(_STYLES, "SELECT * FROM styles"),
     "deliveries_by_style": _sql(

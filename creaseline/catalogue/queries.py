@@ -176,6 +176,13 @@ def bowling_archetype_join(spark, d):
     return bowling_archetypes(spark, d).drop("bowling_archetype")
 
 
+def archetype_check(spark, d):
+    """Whether every bowler's archetype is the nearest and every claim holds."""
+    stats = written(bowler_phase_stats(spark, d), "bowler-phase")
+    career = archetypes.archetype_features(stats)
+    return archetypes.archetype_check(career, archetypes.archetypes(stats, PARAMS))
+
+
 def table_lookup(spark, d):
     """Every supplier's death-over row, asked for in one batch of the stored table."""
     path = scratch_path(spark, "lookup-tables")
@@ -268,6 +275,7 @@ QUERIES = {
     "archetype_features": archetype_features,
     "bowling_archetypes": bowling_archetypes,
     "bowling_archetype_join": bowling_archetype_join,
+    "archetype_check": archetype_check,
     "table_lookup": table_lookup,
     "matchup_with_fallback": matchup_with_fallback,
     "delivery_features": delivery_features,

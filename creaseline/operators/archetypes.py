@@ -1,19 +1,17 @@
 """Bowler archetypes: K-Means over career features, clusters named by their centroids."""
 
-from functools import partial
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.functions import double
 from creaseline.operators.clones import standardised
+from creaseline.operators.kmeans import SCALE, best_centres, nearest_centres, points_of, whole_points
 from creaseline.operators.phases import NO_WICKET
 from creaseline.operators.rollups import summed
 from creaseline.params import Params
 from creaseline.schema import TABLE_COLUMNS
-from creaseline.sources.concurrent import concurrently
 from creaseline.sources.storage import written
 
 FEATURES = ["c_economy", "c_dot_pct", "c_bowl_sr", "c_death_econ", "c_pp_econ"]
@@ -28,8 +26,6 @@ CLAIMS = [
 OTHER_LABEL = "allrounder"
 NO_LABEL = "unknown"
 
-_PARTITIONS = 16  # of the career rows, whatever their number: the fit depends on their layout
-
 
 def archetype_features(phase_stats: DataFrame) -> DataFrame:
     """Plain means over a bowler's retained, already rounded phase rows."""
@@ -60,53 +56,68 @@ def label_clusters(centroids: list[dict[str, float]]) -> list[str]:
 def archetypes(phase_stats: DataFrame, params: Params = Params()) -> DataFrame:
     """(bowler, bowling_archetype). Runs jobs: the clustering is fitted here.
 
-    The best of several seeded fits is kept. Their outcome depends on how rows are laid out, so the
-    layout follows from the bowlers alone: hashed to a fixed number of partitions, sorted.
+    The best of several seeded starts is kept. All starts run side by side, one job for each seed
+    drawn and each Lloyd step; their sums are whole numbers, so the layout of rows does not matter.
     """
     career = written(archetype_features(phase_stats), "career")
-    count = career.count()
-    if count < params.archetypes:
+    if career.count() < params.archetypes:
         return career.select("bowler", F.lit(NO_LABEL).alias("bowling_archetype"))
-    points = written(
-        standardised(career.withColumnRenamed("bowler", "player"), FEATURES, "bowler"), "scaled"
-    )
-    points = (
-        points.repartition(_PARTITIONS, "player")
-        .sortWithinPartitions("player")
-        .select("player", "z", array_to_vector("z").alias("features"))
-        .persist()
-    )
-
-    def fit(restart):
-        model = KMeans(
-            k=params.archetypes, seed=params.kmeans_seed + restart,
-            maxIter=params.kmeans_iterations,
-        ).fit(points)
-        return model.summary.trainingCost, restart, model
-
-    try:
-        points.count()
-        fits = concurrently(
-            points.sparkSession, [partial(fit, i) for i in range(params.kmeans_restarts)]
-        )
-    finally:
-        points.unpersist()
-    _, _, model = min(fits, key=lambda entry: entry[:2])
+    scaled = standardised(career.withColumnRenamed("bowler", "player"), FEATURES, "bowler")
+    points = written(scaled.select("player", whole_points("z").alias("point")), "scaled")
+    centres = best_centres(points, params)
     moments = summed(career, [], [
         *[f"avg({name}) AS {name}_mean" for name in FEATURES],
         *[f"stddev_pop({name}) AS {name}_std" for name in FEATURES],
     ]).first()
     centroids = [
         {
-            name: float(centre[i]) * moments[f"{name}_std"] + moments[f"{name}_mean"]
+            name: float(centre[i]) / SCALE * moments[f"{name}_std"] + moments[f"{name}_mean"]
             for i, name in enumerate(FEATURES)
         }
-        for centre in model.clusterCenters()
+        for centre in centres
     ]
-    labels = F.array(*[F.lit(label) for label in label_clusters(centroids)])
-    return model.transform(points).select(
-        F.col("player").alias("bowler"),
-        F.get(labels, F.col("prediction")).alias("bowling_archetype"),
+    names = np.array(label_clusters(centroids))
+
+    def label(batches):
+        for batch in batches:
+            chosen = names[nearest_centres(points_of(batch), centres[None])[:, 0]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("player"), pa.array(chosen, pa.string())], ["bowler", "bowling_archetype"]
+            )
+
+    return points.mapInArrow(label, "bowler string, bowling_archetype string")
+
+
+def archetype_check(career: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bowler, nearest_is_own, claim_holds): whether the labels are a fixed point of the clustering.
+
+    For up to five archetypes, where no two share a label. A bowler's own archetype must have the nearest mean of all archetypes, and each claim must have
+    gone to the archetype lowest in its feature among those not claimed before.
+    """
+    scaled = standardised(career.withColumnRenamed("bowler", "player"), FEATURES, "bowler")
+    joined = scaled.selectExpr("player AS bowler", "z").join(labels, "bowler").join(career, "bowler")
+    rows = written(joined, "labelled")
+    means = summed(rows, ["bowling_archetype"], [
+        f"array({', '.join(f'avg(z[{i}])' for i in range(len(FEATURES)))}) AS centre",
+        *[f"avg({name}) AS {name}" for name in FEATURES],
+    ]).withColumnRenamed("bowling_archetype", "name")
+    order = {label: place for place, (_, label) in enumerate(CLAIMS)}
+    feature = {label: name for name, label in CLAIMS}
+    place = F.coalesce(*[F.when(F.col("name") == n, F.lit(p)) for n, p in order.items()], F.lit(len(CLAIMS)))
+    means = means.withColumn("place", place)
+    # One row per archetype by construction, so all of them fit in an array.
+    every = means.groupBy().agg(F.collect_list(F.struct("name", "place", "centre", *FEATURES)).alias("every"))
+    apart = "aggregate(zip_with(z, m.centre, (x, y) -> (x - y) * (x - y)), 0D, (total, x) -> total + x)"
+    own = "element_at(filter(every, m -> m.name = bowling_archetype), 1)"
+    claims = " ".join(
+        f"WHEN '{label}' THEN forall(every, m -> m.place < {order[label]} OR {own}.{feature[label]} <= m.{feature[label]} + 1e-6)"
+        for label in order
+    )
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(every.withColumn("one", F.lit(1))), "one").selectExpr(
+        "bowler",
+        f"array_min(transform(every, m -> {apart})) + 1e-6 >= transform(filter(every, m -> m.name = bowling_archetype), m -> {apart})[0]"
+        " AS nearest_is_own",
+        f"CASE bowling_archetype {claims} ELSE true END AS claim_holds",
     )
 
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from creaseline.operators import archetypes
 from creaseline.params import Params
 from creaseline.schema import TABLE_COLUMNS
@@ -71,3 +73,24 @@ def test_claims_go_to_the_lowest_free_cluster():
     assert archetypes.label_clusters(centroids) == [
         "economy_merchant", "death_specialist", "strike_bowler", "powerplay_enforcer", "allrounder"]
     assert archetypes.label_clusters(centroids[:1]) == ["death_specialist"]
+
+
+def test_labels_do_not_depend_on_partitions_and_are_a_fixed_point(spark):
+    rng = random.Random(3)
+    stats = phase_stats(spark, 40).withColumn("economy", F.expr("economy + 3 * rand(5)")).withColumn(
+        "dot_pct", F.expr("dot_pct + 20 * rand(6)")).collect()
+    rng.shuffle(stats)
+    params = Params(kmeans_restarts=6)
+    labels = []
+    for n in (1, 3, 8):
+        frame = spark.createDataFrame(stats, _SCHEMA).repartition(n)
+        found = archetypes.archetypes(frame, params)
+        labels.append({r["bowler"]: r["bowling_archetype"] for r in found.collect()})
+        checked = archetypes.archetype_check(archetypes.archetype_features(frame), found).collect()
+        assert len(checked) == 40
+        assert all(r["nearest_is_own"] and r["claim_holds"] for r in checked)
+    assert labels[0] == labels[1] == labels[2]
+    swapped = spark.createDataFrame(
+        [(b, "death_specialist" if i % 2 else name) for i, (b, name) in enumerate(labels[0].items())], "bowler string, bowling_archetype string")
+    checked = archetypes.archetype_check(archetypes.archetype_features(frame), swapped).collect()
+    assert not all(r["nearest_is_own"] for r in checked)
