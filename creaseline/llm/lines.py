@@ -5,16 +5,18 @@ Lines are similar if their sets of five-character shingles (UTF-16 units; a shor
 shingle) have a Jaccard similarity of at least 0.8. One line stays of each component of similar
 lines: the first one, by key and then by line number.
 
-1. A signature is drawn from the hashes of all shingles. The hash range is cut into 56 bins, and the
-   least hash of each bin is the signature (one-permutation MinHash); a sentinel at each bin's end
-   stands in for an empty bin. Four bins make a band. A bin agrees with a chance of at least the
-   similarity, so lines at the threshold share one of the fourteen bands with a chance of 99.9
-   percent; in a short line each shingle has a bin, and a changed end spoils only its own bands.
-2. Equal lines become one row with a count, by partial aggregation, before anything is compared.
+1. Equal lines become one row with a count before anything is compared.
+2. A signature of each different line is drawn from the hashes of all shingles. The hash range is cut
+   into 56 bins, and the least hash of each bin is the signature (one-permutation MinHash); a sentinel
+   at each bin's end stands in for an empty bin. Four bins make a band. A bin agrees with a chance of
+   at least the similarity, so lines at the threshold share one of the fourteen bands with a chance of
+   99.9 percent; in a short line each shingle has a bin, and a changed end spoils only its own bands.
 3. Within a band's bucket each line is first compared with the most frequent one: of a group of copies
    with changes the original, which is near all of them though they are not near each other. The links
    found give first components. Then all pairs of lines of a bucket that are not yet in one component
-   are compared, whatever the size of the bucket; its members come in blocks, so hot buckets spread.
+   are compared, whatever the size of the bucket. Before a text is fetched, exact bounds drop pairs
+   that cannot be similar: by the numbers of different shingles, and by the bins whose least hashes
+   differ. Lines meet in classes of sizes, and large classes in blocks, so hot buckets spread.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets, and the links left
    go through star contraction.
 
@@ -25,6 +27,9 @@ that share a key count as one document, so repeated rows are decided alike; a nu
 a document may lose all of its lines, and then has an empty text.
 """
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +40,16 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 14
 BAND_BINS = 4
-BLOCKS = 16  # parts of a component's lines in one bucket, so that none is one row
+BLOCK = 2048  # lines of one class of sizes in a bucket that one join key brings together
 BROADCAST_ROWS = 1_000_000  # line hashes (8 bytes) that may be broadcast; more are joined by shuffle
 _BINS = BANDS * BAND_BINS
 # The largest hash of each bin; bins cut the range of 64-bit hashes evenly.
 _SENTINELS = [((-(-(b + 1) * (1 << 32) // _BINS) - 1 - (1 << 31)) << 32) + (1 << 32) - 1 for b in range(_BINS)]
+_HASHES = (1 << 58) - 1  # a line's hash has 58 bits, which leaves room for its frequency above them
+_BAND_BITS = [15, 15, 15, 14]  # bits of each bin of a band, in lanes of 16
+_EMPTY = sum(((1 << b) - 1) << (16 * i) for i, b in enumerate(_BAND_BITS))  # a band of sentinels
+_DIGITS = 14  # bins in one number of digits, in lanes of four bits
+_SEVENS, _EIGHTS = (sum(d << (4 * i) for i in range(_DIGITS)) for d in (7, 8))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -49,6 +59,10 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return spread.select("id", "at", F.trim("line").alias("line")).filter("line <> ''")
 
 
+def _hash(line: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(line), 6)
+
+
 def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
@@ -57,62 +71,108 @@ def _shingles(units: Column, make) -> Column:
     """`make` of each shingle of a UTF-16 column."""
     last = F.greatest(F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0))
     return F.transform(
-        F.sequence(F.lit(0), last), lambda i: make(F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE)))
+        F.sequence(F.lit(1), 2 * last + 1, F.lit(2)), lambda i: make(F.substr(units, i, F.lit(2 * SHINGLE)))
     )
 
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """`lines` with one hash per band, b0 and so on; null where all bins of the band are empty."""
+def signed(lines: DataFrame) -> DataFrame:
+    """One row per different line: hash, rank (frequency, then hash), size (different shingles), bands, digits.
+
+    `bands` holds 15 bits of the least hash of each bin, a band's four bins in one number; `digits` holds
+    three bits of each, fourteen bins in one number, to bound differences from below.
+    """
     sentinels = F.expr(f"array({', '.join(f'{h}L' for h in _SENTINELS)})")
-    units = lines.withColumn("units", F.encode("line", "UTF-16BE"))
-    shingled = units.withColumn("hashes", _shingles(F.col("units"), lambda s: F.xxhash64(s)))
-    hashed = shingled.withColumn("hashes", F.sort_array(F.concat("hashes", sentinels)))
-    bin_of = "shiftright((shiftright({h}, 32) + {half}L) * {bins}, 32)".replace("{half}", str(1 << 31)).replace("{bins}", str(_BINS))
-    here, before = bin_of.replace("{h}", "h"), bin_of.replace("{h}", "hashes[i - 1]")
-    least = hashed.withColumn("bins", F.expr(f"filter(hashes, (h, i) -> i = 0 OR {here} <> {before})"))
-    bands = {}
-    for band in range(BANDS):
-        own = range(band * BAND_BINS, (band + 1) * BAND_BINS)
-        bins = f"slice(bins, {own[0] + 1}, {BAND_BINS})"
-        empty = f"array({', '.join(f'{_SENTINELS[b]}L' for b in own)})"
-        bands[f"b{band}"] = F.expr(f"IF({bins} <> {empty}, xxhash64({band}, {bins}), NULL)")
-    return least.withColumns(bands).drop("units", "hashes", "bins")
-
-
-def members(lines: DataFrame) -> DataFrame:
+    equal = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    units = equal.select(_hash(F.col("line")).alias("hash"), "n", F.encode("line", "UTF-16BE").alias("units"))
+    shingled = units.select("hash", "n", F.array_distinct(_shingles(F.col("units"), lambda s: F.xxhash64(s))).alias("own"))
+    ordered = shingled.select("hash", "n", F.sort_array(F.concat("own", sentinels)).alias("least"))
+    # The least hash of a bin stands behind the largest of the bin before it.
+    at = [F.lit(0), *[F.array_position("least", F.lit(h)).cast("int") for h in _SENTINELS[:-1]]]
+    least = [F.get("least", i) for i in at]
+
+    def packed(values, bits, space):
+        sums = [F.shiftleft(v.bitwiseAND(F.lit((1 << b) - 1).cast("bigint")), space * i) for i, (v, b) in enumerate(zip(values, bits))]
+        return reduce(Column.bitwiseOR, sums)
+
+    bands = [packed(least[b : b + BAND_BINS], _BAND_BITS, 16) for b in range(0, _BINS, BAND_BINS)]
+    digits = [packed([F.shiftright(v, 16) for v in least[b : b + _DIGITS]], [3] * _DIGITS, 4) for b in range(0, _BINS, _DIGITS)]
+    often = F.shiftleft(F.least(F.floor(F.log2("n")), F.lit(31)).cast("bigint"), 58)
+    return ordered.select(
+        "hash", often.bitwiseOR(F.col("hash")).alias("rank"),
+        # A lambda keeps this projection out of whole-stage code, where it would be one method too long to compile.
+        F.transform(F.array(F.size("least")), lambda n: n - _BINS)[0].alias("size"),
+        F.array(*bands).alias("bands"), F.array(*digits).alias("digits"),
+    )
+
+
+def members(signatures: DataFrame) -> DataFrame:
     """(band, hash, pivot): different lines of each bucket with several; the pivot is the most frequent."""
-    names = [f"b{band}" for band in range(BANDS)]
-    hashed = with_bands(lines.select("line")).select(F.xxhash64("line").alias("hash"), *names)
-    equal = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), *[F.min(n).alias(n) for n in names])
-    spread = equal.select("hash", "n", F.explode_outer(F.array(*names)).alias("band")).filter("band IS NOT NULL")
-    spread = written(spread, "line-bands")
-    best = F.max(F.struct(F.col("n"), F.col("hash")))
-    buckets = spread.groupBy("band").agg(best["hash"].alias("pivot"), F.count(F.lit(1)).alias("several")).filter("several > 1")
-    return written(spread.join(buckets.drop("several"), "band").select("band", "hash", "pivot"), "line-members")
-
-
-def unlinked_pairs(found: DataFrame, tied: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of hashes that share a bucket but no component of `tied`, save those with the pivot."""
+    spread = signatures.select("rank", F.posexplode("bands").alias("at", "value")).filter(F.col("value") != _EMPTY)
+    # One shuffle serves the aggregate and the join.
+    spread = spread.select(F.xxhash64("at", "value").alias("band"), "rank").repartition("band")
+    buckets = spread.groupBy("band").agg(F.max("rank").alias("pivot"), F.min("rank").alias("low")).filter("low <> pivot")
+    bare = {c: F.col(c).bitwiseAND(F.lit(_HASHES)) for c in ("rank", "pivot")}
+    found = spread.join(buckets.drop("low"), "band").select("band", bare["rank"].alias("hash"), bare["pivot"].alias("pivot"))
+    return written(found, "line-members")
+
+
+def unlinked_pairs(found: DataFrame, tied: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of hashes that share a bucket but no component of `tied`, save those with the pivot.
+
+    With `facts` (hash, size, digits) only pairs that can reach the threshold: lines meet only lines of
+    their own or the next class of sizes, the pairs of a large bucket spread over blocks, and bounds on
+    sizes and differences are tested before a pair leaves the join.
+    """
     known = tied.select(F.col("node").alias("hash"), "component")
     named = found.join(known, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    blocks = named.join(mixed.select("band"), "band").groupBy(
-        "band", "component", "pivot", F.pmod(F.xxhash64("hash"), F.lit(BLOCKS)).alias("block")
-    ).agg(F.collect_list("hash").alias("own"))
-    blocks = written(blocks, "line-blocks")
-    one = blocks.select("band", "pivot", F.col("component").alias("c"), F.col("own").alias("own_a"))
-    two = blocks.select("band", F.col("component").alias("d"), F.col("own").alias("own_b"))
-    facing = one.join(two, "band").filter("c < d")
-    spread = facing.select("pivot", "own_b", F.explode("own_a").alias("a")).select("pivot", "a", F.explode("own_b").alias("b"))
-    return spread.filter("a <> pivot AND b <> pivot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    named = named.join(mixed.select("band"), "band")
+    if facts is None:
+        named = named.withColumns({"size": F.lit(1), "digits": F.array(F.lit(0).cast("bigint"))})
+    else:
+        named = named.join(facts, "hash")
+    # Sizes of a similar pair differ by a factor of 1 / SIMILARITY at most.
+    named = named.filter("hash <> pivot").withColumn("class", F.floor(F.log("size") / math.log(1 / SIMILARITY)).cast("int"))
+    named = written(named.drop("pivot"), "line-classes")
+    sizes = named.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    side = {c: [F.col(c).alias(f"{c}_{x}") for x in "ab"] for c in ("hash", "component", "size", "digits")}
+    hosts = named.join(sizes, ["band", "class"]).select(
+        "band", "class", F.pmod(F.xxhash64("hash"), "blocks").cast("int").alias("block"), *[s[0] for s in side.values()]
+    )
+    visits = named.select(
+        "band", *[s[1] for s in side.values()], F.col("class").alias("own"), F.explode(F.array("class", F.col("class") - 1)).alias("class")
+    )
+    visits = visits.join(sizes, ["band", "class"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = hosts.join(visits, ["band", "class", "block"]).filter("component_a <> component_b AND (own > class OR hash_a < hash_b)")
+    return met.filter(_possible(1 if facts is None else _BINS // _DIGITS)).select(
+        F.least("hash_a", "hash_b").alias("a"), F.greatest("hash_a", "hash_b").alias("b")
+    ).distinct()
+
+
+def _possible(words: int) -> Column:
+    """Whether sizes and digits of a pair leave room for the threshold; never false for a similar pair.
+
+    A bin whose least hashes differ holds a shingle that only one line has, and a similar pair has at
+    most (1 - s) / (1 + s) of both sizes such shingles: a ninth at 0.8.
+    """
+    apart = reduce(Column.__add__, [
+        F.bit_count((F.col("digits_a")[i].bitwiseXOR(F.col("digits_b")[i]) + F.lit(_SEVENS)).bitwiseAND(F.lit(_EIGHTS))) for i in range(words)
+    ])
+    room = apart * 9 <= F.col("size_a") + F.col("size_b")
+    return (F.least("size_a", "size_b") * 5 >= F.greatest("size_a", "size_b") * 4) & room
 
 
 def links(lines: DataFrame) -> DataFrame:
     """(a, b): digests of different lines whose similarity reaches the threshold; they span the components."""
-    found = members(lines)
+    signatures = written(signed(lines), "line-signatures")
+    found = members(signatures)
+    facts = signatures.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "size", "digits")
+    facts = written(facts, "line-facts")
     first = found.filter("hash <> pivot").select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct()
-    near = written(_verified(lines, first), "line-links")
-    rest = _verified(lines, unlinked_pairs(found, components(near)))
+    for x in "ab":
+        first = first.join(facts.select(F.col("hash").alias(x), F.col("size").alias(f"size_{x}"), F.col("digits").alias(f"digits_{x}")), x)
+    near = written(_verified(lines, first.filter(_possible(_BINS // _DIGITS)).select("a", "b")), "line-links")
+    rest = _verified(lines, unlinked_pairs(found, components(near), facts))
     return near.union(rest).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
 
@@ -122,7 +182,7 @@ def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("hash")).union(pairs.select(F.col("b").alias("hash"))).distinct()
     asked = written(asked, "line-asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    texts = lines.select(F.xxhash64("line").alias("hash"), "line").join(asked, "hash", "left_semi")
+    texts = lines.select(_hash(F.col("line")).alias("hash"), "line").join(asked, "hash", "left_semi")
     texts = written(texts.distinct(), "line-texts")
     one = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"))
     two = texts.select(F.col("hash").alias("b"), F.col("line").alias("line_b"))
