@@ -15,8 +15,8 @@ lines: the first one, by key and then by line number.
    with changes the original, which is near all of them though they are not near each other. The links
    found give first components. Then all pairs of lines of a bucket that are not yet in one component
    are compared, whatever the size of the bucket. Before a text is fetched, exact bounds drop pairs
-   that cannot be similar: by the numbers of different shingles, and by the bins whose least hashes
-   differ. Lines meet in classes of sizes, and large classes in blocks, so hot buckets spread.
+   that cannot be similar: by the numbers of different shingles, and by 256 parities of each line's
+   shingles. Lines meet in classes of sizes, and large classes in blocks, so hot buckets spread.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets, and the links left
    go through star contraction.
 
@@ -48,8 +48,7 @@ _SENTINELS = [((-(-(b + 1) * (1 << 32) // _BINS) - 1 - (1 << 31)) << 32) + (1 <<
 _HASHES = (1 << 58) - 1  # a line's hash has 58 bits, which leaves room for its frequency above them
 _BAND_BITS = [15, 15, 15, 14]  # bits of each bin of a band, in lanes of 16
 _EMPTY = sum(((1 << b) - 1) << (16 * i) for i, b in enumerate(_BAND_BITS))  # a band of sentinels
-_DIGITS = 14  # bins in one number of digits, in lanes of four bits
-_SEVENS, _EIGHTS = (sum(d << (4 * i) for i in range(_DIGITS)) for d in (7, 8))
+QUARTERS = 4  # numbers of 64 marks
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,32 +75,38 @@ def _shingles(units: Column, make) -> Column:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """One row per different line: hash, rank (frequency, then hash), size (different shingles), bands, digits.
+    """One row per different line: hash, rank (frequency, then hash), size (different shingles), bands, marks.
 
-    `bands` holds 15 bits of the least hash of each bin, a band's four bins in one number; `digits` holds
-    three bits of each, fourteen bins in one number, to bound differences from below.
+    `bands` holds 15 bits of the least hash of each bin, a band's four bins in one number. `marks` are
+    256 parities: each shingle flips one, in the number of its quarter of the hash range, so that two
+    lines differ in at least as many shingles as in marks.
     """
     sentinels = F.expr(f"array({', '.join(f'{h}L' for h in _SENTINELS)})")
     equal = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     units = equal.select(_hash(F.col("line")).alias("hash"), "n", F.encode("line", "UTF-16BE").alias("units"))
     shingled = units.select("hash", "n", F.array_distinct(_shingles(F.col("units"), lambda s: F.xxhash64(s))).alias("own"))
     ordered = shingled.select("hash", "n", F.sort_array(F.concat("own", sentinels)).alias("least"))
+    ends = [F.array_position("least", F.lit(_SENTINELS[(q + 1) * _BINS // QUARTERS - 1])).cast("int") for q in range(QUARTERS)]
+    ordered = ordered.withColumn("ends", F.array(F.lit(0), *ends))
     # The least hash of a bin stands behind the largest of the bin before it.
     at = [F.lit(0), *[F.array_position("least", F.lit(h)).cast("int") for h in _SENTINELS[:-1]]]
     least = [F.get("least", i) for i in at]
 
-    def packed(values, bits, space):
-        sums = [F.shiftleft(v.bitwiseAND(F.lit((1 << b) - 1).cast("bigint")), space * i) for i, (v, b) in enumerate(zip(values, bits))]
-        return reduce(Column.bitwiseOR, sums)
+    def packed(values):
+        lanes = [F.shiftleft(v.bitwiseAND(F.lit((1 << b) - 1).cast("bigint")), 16 * i) for i, (v, b) in enumerate(zip(values, _BAND_BITS))]
+        return reduce(Column.bitwiseOR, lanes)
 
-    bands = [packed(least[b : b + BAND_BINS], _BAND_BITS, 16) for b in range(0, _BINS, BAND_BINS)]
-    digits = [packed([F.shiftright(v, 16) for v in least[b : b + _DIGITS]], [3] * _DIGITS, 4) for b in range(0, _BINS, _DIGITS)]
+    def flipped(marks, hash):
+        return marks.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), hash.bitwiseAND(F.lit(63).cast("bigint")).cast("int")))
+
+    bands = [packed(least[b : b + BAND_BINS]) for b in range(0, _BINS, BAND_BINS)]
+    # Sentinels flip the same marks in every line.
+    quarters = [F.slice("least", F.col("ends")[q] + 1, F.col("ends")[q + 1] - F.col("ends")[q]) for q in range(QUARTERS)]
+    marks = [F.aggregate(q, F.lit(0).cast("bigint"), flipped) for q in quarters]
     often = F.shiftleft(F.least(F.floor(F.log2("n")), F.lit(31)).cast("bigint"), 58)
     return ordered.select(
         "hash", often.bitwiseOR(F.col("hash")).alias("rank"),
-        # A lambda keeps this projection out of whole-stage code, where it would be one method too long to compile.
-        F.transform(F.array(F.size("least")), lambda n: n - _BINS)[0].alias("size"),
-        F.array(*bands).alias("bands"), F.array(*digits).alias("digits"),
+        (F.size("least") - _BINS).alias("size"), F.array(*bands).alias("bands"), F.array(*marks).alias("marks"),
     )
 
 
@@ -119,7 +124,7 @@ def members(signatures: DataFrame) -> DataFrame:
 def unlinked_pairs(found: DataFrame, tied: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b) of hashes that share a bucket but no component of `tied`, save those with the pivot.
 
-    With `facts` (hash, size, digits) only pairs that can reach the threshold: lines meet only lines of
+    With `facts` (hash, size, marks) only pairs that can reach the threshold: lines meet only lines of
     their own or the next class of sizes, the pairs of a large bucket spread over blocks, and bounds on
     sizes and differences are tested before a pair leaves the join.
     """
@@ -128,14 +133,14 @@ def unlinked_pairs(found: DataFrame, tied: DataFrame, facts: DataFrame | None =
     mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     named = named.join(mixed.select("band"), "band")
     if facts is None:
-        named = named.withColumns({"size": F.lit(1), "digits": F.array(F.lit(0).cast("bigint"))})
+        named = named.withColumns({"size": F.lit(1), "marks": F.array(*[F.lit(0).cast("bigint")] * QUARTERS)})
     else:
         named = named.join(facts, "hash")
     # Sizes of a similar pair differ by a factor of 1 / SIMILARITY at most.
     named = named.filter("hash <> pivot").withColumn("class", F.floor(F.log("size") / math.log(1 / SIMILARITY)).cast("int"))
     named = written(named.drop("pivot"), "line-classes")
     sizes = named.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    side = {c: [F.col(c).alias(f"{c}_{x}") for x in "ab"] for c in ("hash", "component", "size", "digits")}
+    side = {c: [F.col(c).alias(f"{c}_{x}") for x in "ab"] for c in ("hash", "component", "size", "marks")}
     hosts = named.join(sizes, ["band", "class"]).select(
         "band", "class", F.pmod(F.xxhash64("hash"), "blocks").cast("int").alias("block"), *[s[0] for s in side.values()]
     )
@@ -144,20 +149,18 @@ def unlinked_pairs(found: DataFrame, tied: DataFrame, facts: DataFrame | None =
     )
     visits = visits.join(sizes, ["band", "class"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = hosts.join(visits, ["band", "class", "block"]).filter("component_a <> component_b AND (own > class OR hash_a < hash_b)")
-    return met.filter(_possible(1 if facts is None else _BINS // _DIGITS)).select(
+    return met.filter(_possible()).select(
         F.least("hash_a", "hash_b").alias("a"), F.greatest("hash_a", "hash_b").alias("b")
     ).distinct()
 
 
-def _possible(words: int) -> Column:
-    """Whether sizes and digits of a pair leave room for the threshold; never false for a similar pair.
+def _possible() -> Column:
+    """Whether sizes and marks of a pair leave room for the threshold; never false for a similar pair.
 
-    A bin whose least hashes differ holds a shingle that only one line has, and a similar pair has at
-    most (1 - s) / (1 + s) of both sizes such shingles: a ninth at 0.8.
+    Of a similar pair, at most (1 - s) / (1 + s) of both sizes are shingles that only one line has: a
+    ninth at 0.8.
     """
-    apart = reduce(Column.__add__, [
-        F.bit_count((F.col("digits_a")[i].bitwiseXOR(F.col("digits_b")[i]) + F.lit(_SEVENS)).bitwiseAND(F.lit(_EIGHTS))) for i in range(words)
-    ])
+    apart = reduce(Column.__add__, [F.bit_count(F.col("marks_a")[q].bitwiseXOR(F.col("marks_b")[q])) for q in range(QUARTERS)])
     room = apart * 9 <= F.col("size_a") + F.col("size_b")
     return (F.least("size_a", "size_b") * 5 >= F.greatest("size_a", "size_b") * 4) & room
 
@@ -166,12 +169,12 @@ def links(lines: DataFrame) -> DataFrame:
     """(a, b): digests of different lines whose similarity reaches the threshold; they span the components."""
     signatures = written(signed(lines), "line-signatures")
     found = members(signatures)
-    facts = signatures.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "size", "digits")
+    facts = signatures.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "size", "marks")
     facts = written(facts, "line-facts")
     first = found.filter("hash <> pivot").select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct()
     for x in "ab":
-        first = first.join(facts.select(F.col("hash").alias(x), F.col("size").alias(f"size_{x}"), F.col("digits").alias(f"digits_{x}")), x)
-    near = written(_verified(lines, first.filter(_possible(_BINS // _DIGITS)).select("a", "b")), "line-links")
+        first = first.join(facts.select(F.col("hash").alias(x), F.col("size").alias(f"size_{x}"), F.col("marks").alias(f"marks_{x}")), x)
+    near = written(_verified(lines, first.filter(_possible()).select("a", "b")), "line-links")
     rest = _verified(lines, unlinked_pairs(found, components(near), facts))
     return near.union(rest).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
