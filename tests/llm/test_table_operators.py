@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from creaseline.llm import components, decontamination, embeddings, lines, oracles, sharding, simhash, warc
@@ -172,6 +173,34 @@ def test_no_pair_of_a_bucket_is_left_out(spark):
     assert sorted(map(tuple, pairs.collect())) == sorted(expected)
 
 
+def test_bounds_drop_no_similar_pair(spark):
+    rng = random.Random(8)
+    made = []
+    for n in range(25):  # near copies around the threshold, from one shingle to some hundred
+        base = "".join(rng.choices("abcdefgh ", k=rng.randint(3, 400))).strip() or "a"
+        made.append(base)
+        for _ in range(6):
+            at = rng.randrange(len(base))
+            made.append((base[:at] + "xyz"[: rng.randint(0, 3)] + base[at + rng.randint(0, 3):]).strip() or "b")
+    made = sorted(set(made))
+    rows = spark.createDataFrame([(m,) for m in made], "line string")
+    facts = lines.signed(rows).select("hash", "size", "marks").cache()
+    assert facts.count() == len(made)
+    named = rows.select("line", lines._hash(F.col("line")).alias("hash")).collect()
+    text = {r["hash"]: r["line"] for r in named}
+    sets = {h: {t[i : i + 5] for i in range(max(1, len(t) - 4))} for h, t in text.items()}
+    assert {r["hash"]: r["size"] for r in facts.collect()} == {h: len(x) for h, x in sets.items()}
+    found = spark.createDataFrame([(7, h, 0) for h in text], "band long, hash long, pivot long")
+    nothing = spark.createDataFrame([], "node long, component long")
+    pairs = {tuple(r) for r in lines.unlinked_pairs(found, nothing, facts).collect()}
+    near = {
+        (a, b) for a in sets for b in sets
+        if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    }
+    assert near and near <= pairs
+    assert len(pairs) < len(sets) ** 2 / 8
+
+
 # --- WARC ---------------------------------------------------------------------------------------
 
 def test_archives_round_trip(spark, tmp_path):
