@@ -18,6 +18,7 @@ from creaseline.sources.storage import scratch_path, written
 from creaseline.sources.testdata import fact
 
 PARAMS = Params()
+INFO_MATCHES = 250  # matches whose information lines one task derives and parses
 _FLAGS = [
     "is_wide", "is_noball", "is_legal", "is_wicket", "is_batter_out", "is_boundary4",
     "is_boundary6", "is_dot", "runs_conceded", "over_int", "phase",
@@ -216,7 +217,9 @@ def ingest_deliveries(spark, d):
 
 def ingest_match_info(spark, d):
     """Information lines derived from each match, parsed back into one row per match."""
-    info = testdata.match_info(spark, d)
+    info = written(testdata.match_info(spark, d), "matches")
+    # A few bytes of a match turn into long lines: tasks are cut by matches, not by their stored size.
+    info = info.repartition(1 + info.count() // INFO_MATCHES, "match_id")
     lines = """posexplode(array(
         'version,2.1.0',
         concat('info,team,Home ', match_id),

@@ -14,8 +14,10 @@ NUMBER_KEYS = ["winner_runs", "winner_wickets"]
 LIST_KEY = "team"
 
 _SUFFIX = rf"{INFO_MARK}\.csv$"
-# Stands for a comma inside quotes while a line is split; a noncharacter, so never in text.
-_QUOTED_COMMA = "\uFDD0"
+# A field behind its comma, and a line whose quotes are all closed. Nothing in them backtracks or
+# recurses, so long lines stay linear.
+_FIELD = ',((?:[^",]++|"[^"]*+")*+)'
+_CLOSED = '^(?:[^"]*+"[^"]*+")*+[^"]*+\\z'
 # White space, which is trimmed around lines and fields.
 _SPACE = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
@@ -49,22 +51,15 @@ def info_lines(spark: SparkSession, directory: str) -> DataFrame:
 
 def _clean(field: Column) -> Column:
     """Trim, drop the quotes around a field, undouble those inside."""
-    field = F.replace(field, F.lit(_QUOTED_COMMA), F.lit(","))
     return F.replace(F.btrim(F.btrim(field, F.lit(_SPACE)), F.lit('"')), F.lit('""'), F.lit('"'))
 
 
 def _fields(line: Column) -> Column:
     """A line's fields. Commas inside quotes belong to their field; if a quote stays open, every
-    comma separates. Linear in the line's length."""
-    plain = F.split(F.btrim(line, F.lit(_SPACE)), ",")
-    pieces = F.split(F.btrim(line, F.lit(_SPACE)), '"')
-    quoted = F.transform(
-        pieces,
-        lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit(","), F.lit(_QUOTED_COMMA))).otherwise(piece),
-    )
-    closed = F.size(pieces) % 2 == 1
-    parts = F.split(F.array_join(F.when(closed, quoted).otherwise(pieces), '"'), ",")
-    return F.transform(F.when(F.contains(line, F.lit('"')), parts).otherwise(plain), _clean)
+    comma separates. Linear in the line's length, with no expression evaluated per quote."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+    closed = F.contains(line, F.lit('"')) & F.rlike(line, F.lit(_CLOSED))
+    return F.transform(F.when(closed, quoted).otherwise(F.split(line, ",")), _clean)
 
 
 def parse_info(lines: DataFrame) -> DataFrame:
@@ -72,15 +67,16 @@ def parse_info(lines: DataFrame) -> DataFrame:
 
     Keys never seen give "" (text) or NULL (numbers). Quoted commas belong to their field.
     """
+    key, parts = F.col("parts")[1], F.col("parts")
+    joined = F.array_join(F.slice("parts", 3, F.size("parts") - 2), ",")
+    # Only values that are asked for go on; a match whose lines hold no other keeps its row.
+    value = F.when(key.isin(*SINGLE_KEYS, *NUMBER_KEYS), parts[2]).when(key.isin(*JOINED_KEYS, LIST_KEY), joined)
     fields = (
         # The generator keeps the filter above it, so fields are worked out once a line.
         lines.filter(F.contains("line", F.lit("info")))
         .select("match_id", "at", F.explode_outer(F.array(_fields(F.col("line")))).alias("parts"))
-        .filter((F.size("parts") >= 3) & (F.col("parts")[0] == "info"))
-        .select(
-            "match_id", "at", F.col("parts")[1].alias("key"), F.col("parts")[2].alias("value"),
-            F.array_join(F.slice("parts", 3, F.size("parts") - 2), ",").alias("joined"),
-        )
+        .filter((F.size("parts") >= 3) & (parts[0] == "info"))
+        .select("match_id", "at", key.alias("key"), value.alias("value"))
     )
 
     def last(key, value, valid=None):
@@ -90,14 +86,13 @@ def parse_info(lines: DataFrame) -> DataFrame:
         return F.max_by(F.when(hit, value), F.when(hit, F.col("at")))
 
     count = F.expr(whole_number("value", "BIGINT"))
-    teams = F.collect_list(F.when(F.col("key") == LIST_KEY, F.struct("at", F.col("joined"))))
+    teams = F.collect_list(F.when(F.col("key") == LIST_KEY, F.struct("at", "value")))
     return (
         fields.groupBy("match_id")
         .agg(
-            *[F.coalesce(last(k, F.col("value")), F.lit("")).alias(k) for k in SINGLE_KEYS],
-            *[F.coalesce(last(k, F.col("joined")), F.lit("")).alias(k) for k in JOINED_KEYS],
+            *[F.coalesce(last(k, F.col("value")), F.lit("")).alias(k) for k in [*SINGLE_KEYS, *JOINED_KEYS]],
             *[last(k, count, count).alias(k) for k in NUMBER_KEYS],
-            F.transform(F.array_sort(teams), lambda team: team["joined"]).alias("teams"),
+            F.transform(F.array_sort(teams), lambda team: team["value"]).alias("teams"),
         )
         .select(*MATCH_INFO_COLUMNS)
     )

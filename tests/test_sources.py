@@ -1,8 +1,12 @@
+from itertools import product
+
 import pytest
+from pyspark.sql import functions as F
 
+from creaseline.catalogue import queries
 from creaseline.schema import DELIVERY_COLUMNS
 from creaseline.sources.deliveries import read_deliveries
-from creaseline.sources.match_info import read_match_info
+from creaseline.sources.match_info import _fields, read_match_info
 
 HEADER = ",".join(DELIVERY_COLUMNS)
 
@@ -198,3 +202,28 @@ def test_an_unclosed_quote_leaves_the_others_splittable(spark, tmp_path):
     got = rows_by_match(source)
     assert {k: len(v) for k, v in got.items()} == {"1": 2000, "2": 2000, "4": 1}
     assert got["4"][0]["venue"] == "two\nlines"
+
+
+def test_fields_of_information_lines(spark):
+    def expected(text):
+        inside, fields, closed = False, [""], text.count('"') % 2 == 0
+        for sign in text:
+            inside ^= sign == '"'
+            if sign == "," and not (closed and inside):
+                fields.append("")
+            else:
+                fields[-1] += sign
+        return [field.strip().strip('"').replace('""', '"') for field in fields]
+
+    signs = ["a", ",", '"', " ", "\n", "﷐", "é"]
+    lines = ["".join(line) for n in range(5) for line in product(signs, repeat=n)]
+    lines += [",\U0001F3CF," + '"a,' * 40_000, "info,season," + '"a,"",' * 40_001 + '"']
+    rows = spark.createDataFrame([(line,) for line in lines], "line string")
+    for line, fields in rows.select("line", _fields(F.col("line"))).collect():
+        assert fields == expected(line), line
+
+
+def test_information_lines_are_spread_by_matches(spark, monkeypatch):
+    monkeypatch.setattr(queries, "INFO_MATCHES", 5, raising=False)
+    parsed = queries.ingest_match_info(spark, "/root/testdata/sf0.001")
+    assert parsed.rdd.getNumPartitions() > parsed.count() // 5
