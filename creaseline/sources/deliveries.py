@@ -73,29 +73,61 @@ class DeliverySource:
         return self.files.filter("reason is not null").select("stem", "reason")
 
 
-def _text_files(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per file with a line, from one pass over the raw lines, combined map-side."""
-    lines = (
-        spark.read.option("pathGlobFilter", "*.csv").text(directory)
+def _raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines that are not blank; `line` orders those of a file's first block."""
+    return (
+        spark.read.option("pathGlobFilter", "*.csv").text(paths)
         .select(
             "value",
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("encoded"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
         )
-        .filter(~F.col("encoded").contains(INFO_MARK) & (F.trim("value") != ""))
+        .filter(~F.col("_metadata.file_name").contains(INFO_MARK) & (F.trim("value") != ""))
     )
+
+
+def _digests(text: Column) -> list[Column]:
+    """128 bits of a line in two numbers."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _text_files(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per file with a line, from one pass over the raw lines, combined map-side.
+
+    All that is gathered of a line are numbers, so the sums need no sort of the lines; a header's text
+    is read from one file of those that share its digest.
+    """
     value = F.col("value")
     quotes = _count(value, '"')
-    bare = F.when(quotes > 0, F.regexp_replace(value, _QUOTED, "")).otherwise(value)
-    return lines.groupBy("path", "encoded").agg(
-        F.expr("min_by(value, line) FILTER (WHERE block = 0) AS header"),
-        F.max(_count(bare, ",") + 1).alias("fields"),
-        F.sum(quotes).alias("quotes"),
-        F.max(quotes % 2).alias("open_quotes"),
-        F.max((~F.is_valid_utf8(value)).cast("int")).alias("bad_text"),
-    ).withColumn("name", _decoded(F.col("encoded")))
+    # Empty quoted text holds no separator, so only lines with other quotes need the pattern.
+    filled = F.contains(F.replace(value, F.lit('""'), F.lit("")), F.lit('"'))
+    bare = F.when(filled, F.regexp_replace(value, _QUOTED, "")).otherwise(value)
+    first = F.when(F.col("block") == 0, F.col("line"))
+    files = written(
+        _raw_lines(spark, directory).groupBy("path").agg(
+            *[F.min_by(digest, first).alias(f"digest_{i}") for i, digest in enumerate(_digests(value))],
+            F.max(_count(bare, ",") + 1).alias("fields"),
+            F.sum(quotes).alias("quotes"),
+            F.max(quotes % 2).alias("open_quotes"),
+            F.max((~F.is_valid_utf8(value)).cast("int")).alias("bad_text"),
+        ),
+        "file-lines",
+    )
+    shared = ["digest_0", "digest_1"]
+    # One row for each distinct layout.
+    samples = files.groupBy(*shared).agg(F.min("path").alias("path")).collect()
+    known = [(row["digest_0"], row["digest_1"]) for row in samples]
+    texts = (
+        _raw_lines(spark, [_unescaped(row["path"]) for row in samples]).filter("block = 0")
+        .select(*[digest.alias(name) for name, digest in zip(shared, _digests(value))], F.col("value").alias("header"))
+        .join(F.broadcast(spark.createDataFrame(known, "digest_0 bigint, digest_1 bigint")), shared, "left_semi")
+        .groupBy(*shared).agg(F.min("header").alias("header"))
+        if samples else spark.createDataFrame([], "digest_0 bigint, digest_1 bigint, header string")
+    )
+    headers = spark.createDataFrame(texts.collect(), texts.schema)
+    files = files.join(F.broadcast(headers), shared).drop(*shared)
+    return files.withColumn("encoded", F.substring_index("path", "/", -1)).withColumn("name", _decoded(F.col("encoded")))
 
 
 def _count(text: Column, sign: str) -> Column:
@@ -107,14 +139,15 @@ def _parse_header(line: str) -> list[str]:
 
 
 def _raw_rows(spark, paths: str | list[str], width: int, spanning: bool) -> DataFrame:
-    """Files read by position, `width` text columns; the reader drops each file's header."""
+    """Files read by position, `width` text columns, NULL for empty text, quoted or not; the reader drops
+    each file's header."""
     fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     return (
         spark.read.schema(schema)
         .options(
             header=True, escape='"', multiLine=spanning, mode="PERMISSIVE",
-            columnNameOfCorruptRecord=_CORRUPT, pathGlobFilter="*.csv",
+            columnNameOfCorruptRecord=_CORRUPT, pathGlobFilter="*.csv", nullValue="", emptyValue="",
         )
         .csv(paths)
         .filter(~F.col("_metadata.file_name").contains(INFO_MARK))
@@ -241,7 +274,7 @@ def _present(names: list[str]) -> list[str]:
 
 
 def _named(present: list[str], layouts: dict[int, list[str]], layout: Column) -> list[Column]:
-    """Pick each named column from the position it has in the row's layout; empty text is NULL."""
+    """Pick each named column from the position it has in the row's layout."""
     columns = []
     for name in present:
         picked = None
@@ -249,7 +282,7 @@ def _named(present: list[str], layouts: dict[int, list[str]], layout: Column) ->
             if name in names:
                 source = F.col(f"_c{names.index(name)}")
                 picked = (F.when if picked is None else picked.when)(layout == number, source)
-        columns.append(F.nullif(picked, F.lit("")).alias(name))
+        columns.append(picked.alias(name))
     return columns
 
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from creaseline.catalogue import queries
 from creaseline.schema import DELIVERY_COLUMNS
+from creaseline.sources import deliveries
 from creaseline.sources.deliveries import read_deliveries
 from creaseline.sources.match_info import _fields, read_match_info
+from creaseline.sources.storage import written
 
 HEADER = ",".join(DELIVERY_COLUMNS)
 
@@ -227,3 +229,24 @@ def test_information_lines_are_spread_by_matches(spark, monkeypatch):
     monkeypatch.setattr(queries, "INFO_MATCHES", 5, raising=False)
     parsed = queries.ingest_match_info(spark, "/root/testdata/sf0.001")
     assert parsed.rdd.getNumPartitions() > parsed.count() // 5
+
+
+def test_lines_are_not_sorted_and_headers_stay_exact(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def recorded(frame, label):
+        plans.append((label, frame._jdf.queryExecution().executedPlan().toString()))
+        return written(frame, label)
+
+    monkeypatch.setattr(deliveries, "written", recorded)
+    write(tmp_path, "1.csv", "", HEADER, line(match_id="1", venue='""'), line(match_id="1", venue='"A, ""B"""'))
+    write(tmp_path, "2.csv", 'striker,"match_id"', '"x","2"')
+    write(tmp_path, "3.csv", "striker,match_id", 'y,"3"",4"', '"",""')
+    write(tmp_path, "4.csv", "a,b", '"x"",""y",1,2')
+    with pytest.warns(UserWarning, match="1 delivery files"):
+        got = rows_by_match(load(spark, tmp_path))
+    assert {key: [row["striker"] for row in rows] for key, rows in got.items()} == {
+        "1": ["s", "s"], "2": ["x"], '3",4': ["y"], None: [None]}
+    assert sorted(row["venue"] or "" for row in got["1"]) == ["", 'A, "B"']
+    assert not any("SortAggregate" in plan for label, plan in plans if label in ("files", "file-lines"))
+    assert "file-lines" in dict(plans)
