@@ -132,8 +132,8 @@ def bowler_matches(spark, d):
 
 def recent_form(spark, d):
     return form.recent_form_from(
-        form.batter_matches(fact(spark, d, "striker")),
-        form.bowler_matches(fact(spark, d, "bowler")),
+        form.last_batter_matches(fact(spark, d, "striker"), PARAMS),
+        form.last_bowler_matches(fact(spark, d, "bowler"), PARAMS),
         PARAMS,
     )
 

@@ -1,16 +1,27 @@
 """Recent form: the last matches of each player and the trend within them."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from creaseline.functions import double, half_even, per_over, strike_rate
 from creaseline.operators.rollups import summed
 from creaseline.params import Params
+from creaseline.sources.storage import written
 
 # How far the later half must move from the earlier half, and the shortest series
 # that is judged at all.
 BATTER_RISE, BATTER_FALL = 1.15, 0.85
 BOWLER_CHEAPER, BOWLER_DEARER = 0.90, 1.10
 TREND_MATCHES = 4
+# Buckets of matches for each match that is asked for, and the most players whose
+# bounds (a name and 8 bytes) are broadcast; more are joined by shuffle.
+BUCKETS = 4
+BROADCAST_PLAYERS = 500_000
+
+_BATTED = "is_legal AND striker IS NOT NULL AND match_id IS NOT NULL"
+_BOWLED = "bowler IS NOT NULL AND match_id IS NOT NULL"
+# The first seven bytes of the text as a number: never falls as the text rises.
+_CODE = "CAST(conv(rpad(hex(substring(encode(match_id, 'UTF-8'), 1, 7)), 14, '0'), 16, 10) AS BIGINT)"
 
 _TREND = f"""
 CASE WHEN sample_matches < {TREND_MATCHES} THEN 'stable'
@@ -23,8 +34,7 @@ CASE WHEN sample_matches < {TREND_MATCHES} THEN 'stable'
 
 def batter_matches(fact: DataFrame) -> DataFrame:
     """(player, match_id): runs, strike rate and outs over legal deliveries."""
-    known = fact.filter("is_legal AND striker IS NOT NULL AND match_id IS NOT NULL")
-    sums = summed(known, ["striker", "match_id"], [
+    sums = summed(fact.filter(_BATTED), ["striker", "match_id"], [
         "sum(runs_off_bat) AS innings_runs",
         "count(1) AS balls_faced",
         "count_if(is_batter_out) AS outs",
@@ -37,8 +47,7 @@ def batter_matches(fact: DataFrame) -> DataFrame:
 
 def bowler_matches(fact: DataFrame) -> DataFrame:
     """(player, match_id): runs, economy and wickets over all deliveries."""
-    known = fact.filter("bowler IS NOT NULL AND match_id IS NOT NULL")
-    sums = summed(known, ["bowler", "match_id"], [
+    sums = summed(fact.filter(_BOWLED), ["bowler", "match_id"], [
         "sum(runs_conceded) AS runs_conceded",
         "count_if(is_legal) AS balls_bowled",
         "count_if(is_wicket) AS wickets",
@@ -49,6 +58,37 @@ def bowler_matches(fact: DataFrame) -> DataFrame:
     )
 
 
+def _of_late(known: DataFrame, player: str, last: int) -> DataFrame:
+    """The deliveries of each player's last matches and of some before them, all whole. Runs jobs.
+
+    Matches fall into buckets by hash, so the latest of each bucket are different matches: the
+    `last` greatest of them bound the last matches from below, whatever the hash. Sums are kept by
+    player and bucket, not by match.
+    """
+    buckets = BUCKETS * last
+    bucket = F.expr(f"CAST(pmod(xxhash64(match_id), {buckets}) AS INT)").alias("bucket")
+    latest = known.groupBy(player, bucket).agg(F.expr(f"max({_CODE})").alias("code"))
+    bounds = latest.groupBy(F.col(player).alias("__player")).agg(
+        F.get(F.sort_array(F.collect_list("code"), asc=False), F.lit(last - 1)).alias("__bound")
+    )
+    # Who has no bound keeps all matches.
+    bounds = written(bounds.filter("__bound IS NOT NULL"), "form-bounds")
+    if bounds.count() <= BROADCAST_PLAYERS:
+        bounds = F.broadcast(bounds)
+    late = known.join(bounds, F.col(player) == F.col("__player"), "left")
+    return late.filter(f"__bound IS NULL OR {_CODE} >= __bound").drop("__player", "__bound")
+
+
+def last_batter_matches(fact: DataFrame, params: Params = Params()) -> DataFrame:
+    """Rows of `batter_matches`, the last of each player at least."""
+    return batter_matches(_of_late(fact.filter(_BATTED), "striker", params.form_matches))
+
+
+def last_bowler_matches(fact: DataFrame, params: Params = Params()) -> DataFrame:
+    """Rows of `bowler_matches`, the last of each player at least."""
+    return bowler_matches(_of_late(fact.filter(_BOWLED), "bowler", params.form_matches))
+
+
 def recent_form_from(
     batters: DataFrame, bowlers: DataFrame, params: Params = Params()
 ) -> DataFrame:
@@ -101,5 +141,6 @@ def recent_form_from(
 
 
 def recent_form(fact: DataFrame, params: Params = Params()) -> DataFrame:
-    """One row per (player, role)."""
-    return recent_form_from(batter_matches(fact), bowler_matches(fact), params)
+    """One row per (player, role). Reads the fact twice for each role, so that matches that cannot be
+    among a player's last are dropped before they are summed."""
+    return recent_form_from(last_batter_matches(fact, params), last_bowler_matches(fact, params), params)

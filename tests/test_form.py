@@ -1,6 +1,8 @@
 import random
 
-from creaseline.operators.form import recent_form
+from creaseline.operators.form import (
+    batter_matches, bowler_matches, last_batter_matches, last_bowler_matches, recent_form,
+)
 from creaseline.params import Params
 from creaseline.schema import TABLE_COLUMNS
 
@@ -71,3 +73,21 @@ def test_last_matches_are_limited_before_the_shuffle(make_fact):
 def test_short_series_is_stable(make_fact):
     rows = [{"match_id": str(i), "runs_off_bat": float(i * 6)} for i in range(3)]
     assert {r["form_trend"] for r in recent_form(make_fact(rows)).collect()} == {"stable"}
+
+
+def test_only_late_matches_are_summed(spark, make_fact):
+    rng = random.Random(5)
+    ids = [str(n) for n in range(300)] + [f"2019-final-{n}" for n in range(300)] + ["é", "\U0001F3CF", "", "2019-final"]
+    # Wides alone make no match of a batter; 'rare' has fewer matches than are asked for.
+    rows = [{"match_id": match, "striker": rng.choice("pq"), "bowler": rng.choice("wx"), "runs_off_bat": float(n % 7),
+             "wides": float(n % 3 == 0)} for match in ids for n in range(4)]
+    rows += [{"match_id": str(n), "striker": "rare", "bowler": "seldom", "runs_off_bat": float(n)} for n in range(3)]
+    fact = make_fact(rows)
+    for last, every in ((last_batter_matches, batter_matches), (last_bowler_matches, bowler_matches)):
+        whole = {(row["player"], row["match_id"]): row for row in every(fact).collect()}
+        kept = {(row["player"], row["match_id"]): row for row in last(fact, Params(form_matches=2)).collect()}
+        assert all(whole[key] == row for key, row in kept.items())
+        for player in {player for player, _ in whole}:
+            own = sorted((match for p, match in whole if p == player), key=str.encode)
+            assert all((player, match) in kept for match in own[-2:])
+        assert len(kept) < len(whole) / 2
