@@ -131,11 +131,7 @@ def bowler_matches(spark, d):
 
 
 def recent_form(spark, d):
-    return form.recent_form_from(
-        form.last_batter_matches(fact(spark, d, "striker"), PARAMS),
-        form.last_bowler_matches(fact(spark, d, "bowler"), PARAMS),
-        PARAMS,
-    )
+    return form.recent_form_of(fact(spark, d, "striker"), fact(spark, d, "bowler"), PARAMS)
 
 
 def _clone_features(spark, d, role):

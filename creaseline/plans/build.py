@@ -51,13 +51,14 @@ def build_tables(
     pairs, batter_phases, bowler_phases, matches = concurrently(
         spark, [partial(written, roll(fact), label) for label, roll in rollups.items()]
     )
-    # Both of these run many small jobs while they plan.
-    bowler_table, clone_table = concurrently(spark, [
+    # The first two run many small jobs while they plan, beside which the scans of recent form fit.
+    bowler_table, clone_table, form_table = concurrently(spark, [
         lambda: with_archetypes(bowler_phase_from(bowler_phases, params), params),
         lambda: clones_from(
             batter_features_from(batter_phases, params),
             bowler_features_from(bowler_phases, params), params,
         ),
+        lambda: recent_form(fact, params),
     ])
     styles = bowler_styles_from(bowler_phases, params)
     return {
@@ -66,7 +67,7 @@ def build_tables(
         "batter_phase_stats": batter_phase_from(batter_phases, params),
         "venue_profiles": venue_profiles_from(matches, info),
         "batter_vs_bowling_style": batter_vs_style_from(pairs, styles, params),
-        "recent_form": recent_form(fact, params),
+        "recent_form": form_table,
         "player_clones": clone_table,
         "pressure_performance": pressure_from(
             fact, pressure_matches_from(matches, params), params
