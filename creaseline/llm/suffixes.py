@@ -6,7 +6,9 @@ A byte goes if it is covered by a 50-byte string that also starts in a document
    window's anchor, so equal windows have equal anchors, wherever they stand. Consecutive windows
    with one anchor form a span. Only hashes of anchors and spans are shuffled, packed by bucket.
 2. Spans equal to one in a smaller document go whole. Where different spans share an anchor, a
-   repeat may begin or end inside, and their bytes are fetched.
+   repeat may begin or end inside. A window has 17 bytes or more to the left of its anchor or to the
+   right, so only spans that agree, by hash, in the anchor and 17 bytes on one side can share one;
+   their bytes are fetched.
 3. Of these bytes, what no other span shares by window hash is trimmed away, equal rests are joined,
    and a suffix array over the rests brings equal windows together; they are compared byte by byte.
    Spans of an anchor that very many share do not meet: their windows become rows, the least
@@ -33,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.llm.workers import slices
-from creaseline.sources.storage import written
+from creaseline.sources.storage import forget, written_alone
 
 WINDOW = 50
 ANCHOR = 16
 BUCKET_BYTES = 8 << 20  # text whose anchors share a bucket
+SIDE = (WINDOW - ANCHOR) // 2  # bytes on one side of its anchor, at least, that any window has
 _PACK = 2_000_000  # anchors held before they are packed
 _SUFFIXES = 1 << 15  # bytes sorted together
 HOT_SPANS = 1 << 14  # different places of one anchor above which its windows are compared as rows
@@ -125,13 +128,26 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Text number, first window, number of further windows, anchor hash and span hash of all spans."""
+def _sides(words: np.ndarray, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each span's anchor with SIDE bytes to its left, and to its right; 0 if no window has them."""
+    out = []
+    for first, there in ((anchor - SIDE, anchor - lo >= SIDE), (anchor, anchor - hi <= WINDOW - ANCHOR - SIDE)):
+        first = np.where(there, first, 0)
+        h = np.zeros(len(first), dtype=np.uint64)
+        for offset in (0, 8, 16, 24, SIDE + ANCHOR - 8):
+            word = words[first + offset]
+            h = _mixed(h ^ word, word + np.uint64(offset))
+        out.append(np.where(there, (h >> np.uint64(32)) | np.uint64(1), np.uint64(0)))
+    return out
+
+
+def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int], list[np.ndarray]]:
+    """Text number, first window, number of further windows, anchor hash, span hash and side hashes of all spans."""
     joined = b"".join(texts)
     n = len(joined)
     empty = np.zeros(0, dtype=np.int64)
     if n < WINDOW:
-        return empty, empty, empty, empty.astype(np.uint64), []
+        return empty, empty, empty, empty.astype(np.uint64), [], []
     words = _words(np.frombuffer(joined + bytes(24), dtype=np.uint8))
     value = _mixed(words[:n], words[8 : n + 8])
     index = np.arange(n, dtype=np.int32)
@@ -149,7 +165,7 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     valid[crossing[(crossing >= 0) & (crossing < len(valid))]] = False
     windows = np.flatnonzero(valid)
     if not len(windows):
-        return empty, empty, empty, empty.astype(np.uint64), []
+        return empty, empty, empty, empty.astype(np.uint64), [], []
     anchor = index[windows]
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
     lo, hi = windows[first], windows[np.append(first[1:], len(windows)) - 1]
@@ -157,39 +173,55 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     base = ends[owner] - np.array([len(t) for t in texts])[owner]
     digest = xxhash.xxh64_intdigest
     whole = [digest(joined[a:b]) for a, b in zip(lo.tolist(), (hi + WINDOW).tolist())]
-    return owner, lo - base, hi - lo, value[lo], whole
+    return owner, lo - base, hi - lo, value[lo], whole, _sides(words, anchor[first], lo, hi)
 
 
 def _packed(parts: list, buckets: int) -> pa.RecordBatch:
-    ids, digests, at, more, anchor, whole = (np.concatenate(p) for p in zip(*parts))
+    ids, digests, at, more, anchor, whole, left, right = (np.concatenate(p) for p in zip(*parts))
     bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     names = np.unique(bucket)
     cuts = np.searchsorted(bucket[order], names)[1:]
-    columns = [ids, digests, at.astype("<u4"), more.astype(np.uint8), anchor.astype("<u4"), whole]
+    columns = [ids, digests, at.astype("<u4"), more.astype(np.uint8), anchor.astype("<u4"), whole, left.astype("<u4"), right.astype("<u4")]
     blobs = [[part.tobytes() for part in np.split(c[order], cuts)] for c in columns]
     return pa.RecordBatch.from_arrays(
         [pa.array(names), *[pa.array(b, pa.binary()) for b in blobs]],
-        ["bucket", "ids", "digests", "at", "more", "anchors", "wholes"],
+        ["bucket", "ids", "digests", "at", "more", "anchors", "wholes", "lefts", "rights"],
+    )
+
+
+def _differing(anchor: np.ndarray, side: np.ndarray, whole: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether spans with the same anchor and side differ, and stand in more than one document."""
+    there = np.flatnonzero(side)
+    out = np.zeros(len(ids), dtype=bool)
+    if not len(there):
+        return out
+    group = anchor[there].astype(np.uint64) << np.uint64(32) | side[there]
+    order = np.argsort(group, kind="stable")
+    place, group = there[order], group[order]
+    new = np.append(True, group[1:] != group[:-1])
+    begin = np.flatnonzero(new)
+    several, apart = (
+        np.minimum.reduceat(x[place], begin) < np.maximum.reduceat(x[place], begin) for x in (whole, ids)
     )
+    out[place] = (several & apart)[np.cumsum(new) - 1]
+    return out
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Spans of one bucket that occur in a smaller document (no anchor), and those to look at."""
-    kinds = {"ids": "<i8", "digests": "<i8", "at": "<u4", "more": "u1", "anchors": "<u4", "wholes": "<u8"}
-    ids, digests, at, more, anchor, whole = (
+    kinds = {"ids": "<i8", "digests": "<i8", "at": "<u4", "more": "u1", "anchors": "<u4", "wholes": "<u8", "lefts": "<u4", "rights": "<u4"}
+    ids, digests, at, more, anchor, whole, left, right = (
         np.frombuffer(b"".join(table.column(n).to_pylist()), dtype=k) for n, k in kinds.items()
     )
     order = np.lexsort((ids, whole, anchor))
-    ids, digests, at, more, anchor, whole = (c[order] for c in (ids, digests, at, more, anchor, whole))
+    ids, digests, at, more, anchor, whole, left, right = (c[order] for c in (ids, digests, at, more, anchor, whole, left, right))
     new_anchor = np.diff(anchor.astype(np.int64), prepend=-1) != 0
     new_whole = new_anchor | np.append(True, whole[1:] != whole[:-1])
-    a, w = np.flatnonzero(new_anchor), np.flatnonzero(new_whole)
-    in_anchor, in_whole = np.cumsum(new_anchor) - 1, np.cumsum(new_whole) - 1
+    w = np.flatnonzero(new_whole)
+    in_whole = np.cumsum(new_whole) - 1
     taken = ids > ids[w][in_whole]  # the least id comes first
-    several = np.add.reduceat(new_whole.astype(np.int64), a) > 1
-    low, high = np.minimum.reduceat(ids, a), np.maximum.reduceat(ids, a)
-    asked = ~taken & (several & (low < high))[in_anchor]
+    asked = ~taken & (_differing(anchor, left, in_whole, ids) | _differing(anchor, right, in_whole, ids))
     out = taken | asked
     name = np.where(asked, int(table.column("bucket")[0].as_py()) << 32 | anchor.astype(np.int64), -1)
     return pa.table({
@@ -293,10 +325,10 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         parts, held = [], 0
         for batch in slices(batches, "text", 2 << 20):
             texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
-            owner, at, more, hashes, whole = spans(texts)
+            owner, at, more, hashes, whole, sides = spans(texts)
             if len(owner):
                 ids, digests = batch.column("id").to_numpy(), batch.column("digest").to_numpy()
-                parts.append((ids[owner], digests[owner], at, more, hashes, np.array(whole, dtype=np.uint64)))
+                parts.append((ids[owner], digests[owner], at, more, hashes, np.array(whole, dtype=np.uint64), *sides))
                 held += len(owner)
             if held > _PACK:
                 yield _packed(parts, buckets)
@@ -304,9 +336,9 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         if parts:
             yield _packed(parts, buckets)
 
-    blobs = "bucket long, ids binary, digests binary, at binary, more binary, anchors binary, wholes binary"
+    blobs = "bucket long, ids binary, digests binary, at binary, more binary, anchors binary, wholes binary, lefts binary, rights binary"
     found = docs.mapInArrow(anchor, blobs).groupBy("bucket").applyInArrow(_repeated, f"{_SPANS}, anchor long")
-    found = written(found, "repeated-spans")
+    found = written_alone(found, "repeated-spans")
 
     def fetch(batches):
         for batch in batches:
@@ -333,14 +365,19 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         return rows.mapInArrow(fetch, "id long, digest long, at int, anchor long, data binary")
 
     asked = found.filter("anchor IS NOT NULL")
-    hot = written(asked.groupBy("anchor").count().filter(F.col("count") > HOT_SPANS).select("anchor"), "hot-anchors")
+    hot = written_alone(asked.groupBy("anchor").count().filter(F.col("count") > HOT_SPANS).select("anchor"), "hot-anchors")
     some = not hot.isEmpty()
-    parts = fetched(asked.join(hot, "anchor", "left_anti") if some else asked).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    edges = parts.groupBy("part").applyInArrow(compare, _SPANS)
+    parts = fetched(asked)
+    if some:
+        parts = written_alone(parts, "asked-spans")  # texts are shuffled once for both kinds
+    rest = (parts.join(hot, "anchor", "left_anti") if some else parts).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    edges = rest.groupBy("part").applyInArrow(compare, _SPANS)
     if some:
-        edges = edges.union(repeated_windows(written(fetched(asked.join(hot, "anchor", "left_semi")), "hot-spans")))
+        edges = edges.union(repeated_windows(parts.join(hot, "anchor", "left_semi")))
     whole = found.filter("anchor IS NULL").select("id", "digest", "at", "more")
-    return whole.union(edges)
+    runs = written_alone(whole.union(edges), "repeated-windows")
+    forget(found, *([parts] if some else []))
+    return runs
 
 
 def repeated_windows(fetched: DataFrame) -> DataFrame:

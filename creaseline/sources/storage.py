@@ -67,3 +67,28 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_alone(frame: DataFrame, label: str) -> DataFrame:
+    """`written`, whose shuffle files go as soon as it is stored.
+
+    Spark keeps them otherwise until the driver happens to collect garbage, so the disk would hold those
+    of all steps at once. The setting is the session's: not for steps that run side by side.
+    """
+    conf = frame.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, "false")
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        return written(frame, label)
+    finally:
+        conf.set(_FREE_SHUFFLES, before)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete intermediates, as `written` returned them, that nothing will read again."""
+    for frame in frames:
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            discard(frame.sparkSession, folder)

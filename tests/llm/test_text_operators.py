@@ -250,6 +250,18 @@ def test_repeats_of_no_rows(spark):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_spans_that_share_only_an_anchor_are_not_compared(spark, monkeypatch):
+    rng = random.Random(6)
+    some = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    shared, passage = some(20), some(60)  # too short for a window; long enough, with different bytes around it
+    rows = [(n, some(60) + shared + some(60)) for n in range(40)] + [(n, some(60) + passage + some(60)) for n in (40, 41)]
+    asked = []
+    monkeypatch.setattr(suffixes, "forget", lambda found: asked.append({r["id"] for r in found.filter("anchor IS NOT NULL").collect()}))
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in found.collect() if r["n_removed"]} == {41: 60}
+    assert asked[0] <= {40, 41}
+
+
 def test_repeats_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert removal(docs) == plain_removal([(r["doc_id"], r["text"]) for r in docs.collect()])
