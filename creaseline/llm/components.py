@@ -10,7 +10,7 @@ a node with very many links is an ordinary skewed join key.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creaseline.sources.storage import written
+from creaseline.sources.storage import forget, written_alone
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,7 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links with a null end and links of a node to itself say nothing; repeated links count once.
     """
-    edges = written(
+    edges = written_alone(
         links.filter(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct(),
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == state or now[0] == 0:
             break
         state = now
-        edges = written(_small_star(_large_star(edges)), "links")
+        last, edges = edges, written_alone(_small_star(_large_star(edges)), "links")
+        forget(last)
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.union(roots)

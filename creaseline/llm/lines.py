@@ -7,16 +7,16 @@ lines: the first one, by key and then by line number.
 
 1. Equal lines become one row with a count before anything is compared.
 2. A signature of each different line is drawn from the hashes of all shingles. The hash range is cut
-   into 56 bins, and the least hash of each bin is the signature (one-permutation MinHash); a sentinel
-   at each bin's end stands in for an empty bin. Four bins make a band. A bin agrees with a chance of
+   into 56 bins, and the least hash of each bin is the signature (one-permutation MinHash); all bits
+   set stand in for an empty bin. Four bins make a band. A bin agrees with a chance of
    at least the similarity, so lines at the threshold share one of the fourteen bands with a chance of
    99.9 percent; in a short line each shingle has a bin, and a changed end spoils only its own bands.
 3. Within a band's bucket each line is first compared with the most frequent one: of a group of copies
    with changes the original, which is near all of them though they are not near each other. The links
    found give first components. Then all pairs of lines of a bucket that are not yet in one component
    are compared, whatever the size of the bucket. Before a text is fetched, exact bounds drop pairs
-   that cannot be similar: by the numbers of different shingles, and by 256 parities of each line's
-   shingles. Lines meet in classes of sizes, and large classes in blocks, so hot buckets spread.
+   that cannot be similar: by the numbers of different shingles, and by 448 marks that each line's
+   shingles set. Lines meet in classes of sizes, and large classes in blocks, so hot buckets spread.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets, and the links left
    go through star contraction.
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creaseline.llm.components import components
-from creaseline.sources.storage import written
+from creaseline.sources.storage import forget, written_alone
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,12 +43,10 @@ BAND_BINS = 4
 BLOCK = 2048  # lines of one class of sizes in a bucket that one join key brings together
 BROADCAST_ROWS = 1_000_000  # line hashes (8 bytes) that may be broadcast; more are joined by shuffle
 _BINS = BANDS * BAND_BINS
-# The largest hash of each bin; bins cut the range of 64-bit hashes evenly.
-_SENTINELS = [((-(-(b + 1) * (1 << 32) // _BINS) - 1 - (1 << 31)) << 32) + (1 << 32) - 1 for b in range(_BINS)]
 _HASHES = (1 << 58) - 1  # a line's hash has 58 bits, which leaves room for its frequency above them
-_BAND_BITS = [15, 15, 15, 14]  # bits of each bin of a band, in lanes of 16
-_EMPTY = sum(((1 << b) - 1) << (16 * i) for i, b in enumerate(_BAND_BITS))  # a band of sentinels
-QUARTERS = 4  # numbers of 64 marks
+_BAND_BITS = [15, 15, 15, 14]  # bits of each bin of a band, in lanes of 16; all set in an empty bin
+_EMPTY = sum(((1 << b) - 1) << (16 * i) for i, b in enumerate(_BAND_BITS))  # a band of empty bins
+SHARES = 7  # numbers of 64 marks; each has an equal share of the hash range
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,39 +72,57 @@ def _shingles(units: Column, make) -> Column:
     )
 
 
+def _distinct_shingles() -> Column:
+    """The number of different shingles of `line`.
+
+    Code points are UTF-16 units unless a line holds some beyond the basic plane; such a line is taken in hex.
+    """
+    plain = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    coded = F.regexp_extract_all(F.hex("units"), F.lit(f"(?=(.{{{4 * SHINGLE}}})).{{4}}"), F.lit(1))
+    shingles = F.when(F.octet_length("units") == 2 * F.char_length("line"), plain).otherwise(coded)
+    return F.greatest(F.size(F.array_distinct(shingles)), F.lit(1))
+
+
 def signed(lines: DataFrame) -> DataFrame:
     """One row per different line: hash, rank (frequency, then hash), size (different shingles), bands, marks.
 
     `bands` holds 15 bits of the least hash of each bin, a band's four bins in one number. `marks` are
-    256 parities: each shingle flips one, in the number of its quarter of the hash range, so that two
-    lines differ in at least as many shingles as in marks.
+    448 bits: each shingle sets one, in the number of its share of the hash range, so that two lines
+    differ in at least as many shingles as in marks.
+
+    Shingles are rows; all rows of a line are in one task, so the shuffle carries lines only.
     """
-    sentinels = F.expr(f"array({', '.join(f'{h}L' for h in _SENTINELS)})")
-    equal = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    units = equal.select(_hash(F.col("line")).alias("hash"), "n", F.encode("line", "UTF-16BE").alias("units"))
-    shingled = units.select("hash", "n", F.array_distinct(_shingles(F.col("units"), lambda s: F.xxhash64(s))).alias("own"))
-    ordered = shingled.select("hash", "n", F.sort_array(F.concat("own", sentinels)).alias("least"))
-    ends = [F.array_position("least", F.lit(_SENTINELS[(q + 1) * _BINS // QUARTERS - 1])).cast("int") for q in range(QUARTERS)]
-    ordered = ordered.withColumn("ends", F.array(F.lit(0), *ends))
-    # The least hash of a bin stands behind the largest of the bin before it.
-    at = [F.lit(0), *[F.array_position("least", F.lit(h)).cast("int") for h in _SENTINELS[:-1]]]
-    least = [F.get("least", i) for i in at]
-
-    def packed(values):
-        lanes = [F.shiftleft(v.bitwiseAND(F.lit((1 << b) - 1).cast("bigint")), 16 * i) for i, (v, b) in enumerate(zip(values, _BAND_BITS))]
-        return reduce(Column.bitwiseOR, lanes)
-
-    def flipped(marks, hash):
-        return marks.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), hash.bitwiseAND(F.lit(63).cast("bigint")).cast("int")))
-
-    bands = [packed(least[b : b + BAND_BINS]) for b in range(0, _BINS, BAND_BINS)]
-    # Sentinels flip the same marks in every line.
-    quarters = [F.slice("least", F.col("ends")[q] + 1, F.col("ends")[q + 1] - F.col("ends")[q]) for q in range(QUARTERS)]
-    marks = [F.aggregate(q, F.lit(0).cast("bigint"), flipped) for q in quarters]
+    told = lines.select(_hash(F.col("line")).alias("hash"), "line").repartition("hash")
+    equal = told.groupBy("hash", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("units", F.encode("line", "UTF-16BE"))
     often = F.shiftleft(F.least(F.floor(F.log2("n")), F.lit(31)).cast("bigint"), 58)
-    return ordered.select(
-        "hash", often.bitwiseOR(F.col("hash")).alias("rank"),
-        (F.size("least") - _BINS).alias("size"), F.array(*bands).alias("bands"), F.array(*marks).alias("marks"),
+    last = F.greatest(F.floor(F.octet_length("units") / 2).cast("int") - SHINGLE, F.lit(0))
+    begins = F.explode(F.sequence(F.lit(1), 2 * last + 1, F.lit(2))).alias("begin")
+    # Before the explode, or each shingle would evaluate it again.
+    sized = equal.select("hash", often.bitwiseOR(F.col("hash")).alias("rank"), _distinct_shingles().alias("size"), "units")
+    rows = sized.select("hash", "rank", "size", "units", begins)
+    rows = rows.select("hash", "rank", "size", F.xxhash64(F.substr("units", "begin", F.lit(2 * SHINGLE))).alias("own"))
+    # Bins cut the range of 64-bit hashes evenly.
+    bin_ = F.shiftright((F.shiftright("own", 32) + F.lit(1 << 31)) * _BINS, 32).cast("int")
+    rows = rows.withColumn("bin", bin_).select(
+        "hash", "rank", "size", F.floor(F.col("bin") / BAND_BINS).cast("int").alias("band"), (F.col("bin") % BAND_BINS).alias("lane"), "own"
+    )
+    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("own").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    banded = rows.groupBy("hash", "rank", "size", "band").agg(
+        *[F.min(F.when(F.col("lane") == k, F.col("own"))).alias(f"least_{k}") for k in range(BAND_BINS)], F.bit_or(mark).alias("mark")
+    )
+    lanes = [
+        F.shiftleft(F.coalesce(F.col(f"least_{k}"), F.lit(-1)).bitwiseAND(F.lit((1 << b) - 1).cast("bigint")), 16 * k)
+        for k, b in enumerate(_BAND_BITS)
+    ]
+    banded = banded.select("hash", "rank", "size", "band", "mark", reduce(Column.bitwiseOR, lanes).alias("value"))
+    values = [F.max(F.when(F.col("band") == b, F.col("value"))).alias(f"band_{b}") for b in range(BANDS)]
+    share = F.floor(F.col("band") * SHARES / BANDS)
+    marks = [F.bit_or(F.when(share == s, F.col("mark"))).alias(f"mark_{s}") for s in range(SHARES)]
+    whole = banded.groupBy("hash", "rank", "size").agg(*values, *marks)
+    return whole.select(
+        "hash", "rank", "size",
+        F.array(*[F.coalesce(f"band_{b}", F.lit(_EMPTY).cast("bigint")) for b in range(BANDS)]).alias("bands"),
+        F.array(*[F.coalesce(f"mark_{s}", F.lit(0).cast("bigint")) for s in range(SHARES)]).alias("marks"),
     )
 
 
@@ -118,7 +134,7 @@ def members(signatures: DataFrame) -> DataFrame:
     buckets = spread.groupBy("band").agg(F.max("rank").alias("pivot"), F.min("rank").alias("low")).filter("low <> pivot")
     bare = {c: F.col(c).bitwiseAND(F.lit(_HASHES)) for c in ("rank", "pivot")}
     found = spread.join(buckets.drop("low"), "band").select("band", bare["rank"].alias("hash"), bare["pivot"].alias("pivot"))
-    return written(found, "line-members")
+    return written_alone(found, "line-members")
 
 
 def unlinked_pairs(found: DataFrame, tied: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -133,12 +149,12 @@ def unlinked_pairs(found: DataFrame, tied: DataFrame, facts: DataFrame | None =
     mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     named = named.join(mixed.select("band"), "band")
     if facts is None:
-        named = named.withColumns({"size": F.lit(1), "marks": F.array(*[F.lit(0).cast("bigint")] * QUARTERS)})
+        named = named.withColumns({"size": F.lit(1), "marks": F.array(*[F.lit(0).cast("bigint")] * SHARES)})
     else:
         named = named.join(facts, "hash")
     # Sizes of a similar pair differ by a factor of 1 / SIMILARITY at most.
     named = named.filter("hash <> pivot").withColumn("class", F.floor(F.log("size") / math.log(1 / SIMILARITY)).cast("int"))
-    named = written(named.drop("pivot"), "line-classes")
+    named = written_alone(named.drop("pivot"), "line-classes")
     sizes = named.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     side = {c: [F.col(c).alias(f"{c}_{x}") for x in "ab"] for c in ("hash", "component", "size", "marks")}
     hosts = named.join(sizes, ["band", "class"]).select(
@@ -160,40 +176,46 @@ def _possible() -> Column:
     Of a similar pair, at most (1 - s) / (1 + s) of both sizes are shingles that only one line has: a
     ninth at 0.8.
     """
-    apart = reduce(Column.__add__, [F.bit_count(F.col("marks_a")[q].bitwiseXOR(F.col("marks_b")[q])) for q in range(QUARTERS)])
+    apart = reduce(Column.__add__, [F.bit_count(F.col("marks_a")[q].bitwiseXOR(F.col("marks_b")[q])) for q in range(SHARES)])
     room = apart * 9 <= F.col("size_a") + F.col("size_b")
     return (F.least("size_a", "size_b") * 5 >= F.greatest("size_a", "size_b") * 4) & room
 
 
 def links(lines: DataFrame) -> DataFrame:
     """(a, b): digests of different lines whose similarity reaches the threshold; they span the components."""
-    signatures = written(signed(lines), "line-signatures")
+    signatures = written_alone(signed(lines), "line-signatures")
     found = members(signatures)
     facts = signatures.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "size", "marks")
-    facts = written(facts, "line-facts")
+    facts = written_alone(facts, "line-facts")
+    forget(signatures)
     first = found.filter("hash <> pivot").select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct()
     for x in "ab":
         first = first.join(facts.select(F.col("hash").alias(x), F.col("size").alias(f"size_{x}"), F.col("marks").alias(f"marks_{x}")), x)
-    near = written(_verified(lines, first.filter(_possible()).select("a", "b")), "line-links")
-    rest = _verified(lines, unlinked_pairs(found, components(near), facts))
+    near = _verified(lines, first.filter(_possible()).select("a", "b"))
+    tied = components(near)
+    rest = _verified(lines, unlinked_pairs(found, tied, facts))
+    forget(found, facts, tied)
     return near.union(rest).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
 
 def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, digest_a, digest_b) of the pairs of hashes whose similarity reaches the threshold."""
-    pairs = written(pairs, "line-candidates")
+    pairs = written_alone(pairs, "line-candidates")
     asked = pairs.select(F.col("a").alias("hash")).union(pairs.select(F.col("b").alias("hash"))).distinct()
-    asked = written(asked, "line-asked")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    texts = lines.select(_hash(F.col("line")).alias("hash"), "line").join(asked, "hash", "left_semi")
-    texts = written(texts.distinct(), "line-texts")
+    asked = written_alone(asked, "line-asked")
+    named = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    texts = lines.select(_hash(F.col("line")).alias("hash"), "line").join(named, "hash", "left_semi")
+    texts = written_alone(texts.distinct(), "line-texts")
     one = texts.select(F.col("hash").alias("a"), F.col("line").alias("line_a"))
     two = texts.select(F.col("hash").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(one, "a").join(two, "b")
     # Sets of hashes are quick to compare and hardly ever let a pair through that the shingles
     # themselves, compared next, do not.
     close = _similar(both, lambda s: F.xxhash64(s))
-    return _similar(close, F.hex).select("a", "b", *[_digest(F.col(f"line_{x}")).alias(f"digest_{x}") for x in "ab"])
+    near = _similar(close, F.hex).select("a", "b", *[_digest(F.col(f"line_{x}")).alias(f"digest_{x}") for x in "ab"])
+    near = written_alone(near, "line-links")
+    forget(pairs, asked, texts)
+    return near
 
 
 def _similar(pairs: DataFrame, make) -> DataFrame:
@@ -220,16 +242,16 @@ def _similar(pairs: DataFrame, make) -> DataFrame:
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, at) of every line that is not the first of its component."""
     lines = _lines(docs, key, text)
-    tied = written(components(links(lines)), "tied-lines")
+    tied = written_alone(components(links(lines)), "tied-lines")
     marked = lines.select("id", "at", _digest(F.col("line")).alias("digest"))
     firsts = marked.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    known = written(
+    known = written_alone(
         firsts.join(tied, firsts.digest == tied.node, "left").filter("n > 1 OR component IS NOT NULL")
         .select("digest", "first", F.coalesce("component", "digest").alias("component")),
         "repeated-lines",
     )
     best = known.groupBy("component").agg(F.min("first").alias("best"))
-    named = written(known.join(best, "component").select("digest", "best"), "line-firsts")
+    named = written_alone(known.join(best, "component").select("digest", "best"), "line-firsts")
     return marked.join(named, "digest").filter(
         ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("at") == F.col("best.at")))
     ).select("id", "at")

@@ -1,6 +1,7 @@
 """Sharding, lines, WARC, vectors, decontamination and components against SQL and brute force."""
 
 import hashlib
+import os
 import random
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from creaseline.llm import components, decontamination, embeddings, lines, oracles, sharding, simhash, warc
+from creaseline.sources import storage
 
 
 @pytest.fixture(scope="module")
@@ -201,6 +203,15 @@ def test_bounds_drop_no_similar_pair(spark):
     assert len(pairs) < len(sets) ** 2 / 8
 
 
+def test_intermediates_of_line_dedup_go(spark):
+    rows = [(n, f"The quick brown fox number {n} jumps over the lazy dog and runs\nanother line of {n}") for n in range(12)]
+    with storage.run_folder(spark) as folder:
+        lines.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        left = {name.rsplit("-", 1)[0] for name in os.listdir(folder.removeprefix("file:"))}
+    assert left.isdisjoint({"line-signatures", "line-members", "line-facts", "line-candidates", "line-asked", "line-texts"})
+    assert spark.conf.get(storage._FREE_SHUFFLES, "false") == "false"
+
+
 # --- WARC ---------------------------------------------------------------------------------------
 
 def test_archives_round_trip(spark, tmp_path):
