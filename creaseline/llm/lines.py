@@ -6,17 +6,20 @@ shingle) have a Jaccard similarity of at least 0.8. One line stays of each compo
 lines: the first one, by key and then by line number.
 
 1. Equal lines become one row with a count before anything is compared.
-2. A signature of each different line is drawn from the hashes of all shingles. The hash range is cut
-   into 56 bins, and the least hash of each bin is the signature (one-permutation MinHash); all bits
-   set stand in for an empty bin. Four bins make a band. A bin agrees with a chance of
-   at least the similarity, so lines at the threshold share one of the fourteen bands with a chance of
-   99.9 percent; in a short line each shingle has a bin, and a changed end spoils only its own bands.
+2. A signature of each different line is drawn from the hashes of its different shingles. The hash range
+   is cut into bins, and the least hash of each bin is the signature (one-permutation MinHash); all bits
+   set stand in for an empty bin. A bin agrees with a chance of at least the similarity, so lines at the
+   threshold share one band with a chance of 99.9 percent, by either of two families: 18 bands of five
+   bins for lines of 128 shingles and more, 14 bands of four bins below. The short lines' bins are drawn
+   from two further hashes of each shingle, 28 from each, or most would be empty and one frequent shingle
+   would make a bucket. Lines less than a quarter above 128 are in both families, so that no similar
+   lines are apart.
 3. Within a band's bucket each line is first compared with the most frequent one: of a group of copies
    with changes the original, which is near all of them though they are not near each other. The links
    found give first components. Then all pairs of lines of a bucket that are not yet in one component
    are compared, whatever the size of the bucket. Before a text is fetched, exact bounds drop pairs
-   that cannot be similar: by the numbers of different shingles, and by 448 marks that each line's
-   shingles set. Lines meet in classes of sizes, and large classes in blocks, so hot buckets spread.
+   that cannot be similar: by the numbers of different shingles, and by 1,152 parities that each line's
+   different shingles flip; parities count what two lines do not share, so long lines do not fill them. Lines meet in classes of sizes, and large classes in blocks, so hot buckets spread.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets, and the links left
    go through star contraction.
 
@@ -38,15 +41,17 @@ from creaseline.sources.storage import forget, written_alone
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 14
-BAND_BINS = 4
+LONG = 128  # different shingles of a line whose bins are drawn once
+LONG_BANDS, LONG_BAND = 18, 5  # bands, and bins of a band
+SHORT_BANDS, SHORT_BAND = 14, 4  # half of them from one further hash of each shingle, half from another
+BANDS = LONG_BANDS + SHORT_BANDS
 BLOCK = 2048  # lines of one class of sizes in a bucket that one join key brings together
 BROADCAST_ROWS = 1_000_000  # line hashes (8 bytes) that may be broadcast; more are joined by shuffle
-_BINS = BANDS * BAND_BINS
+_LONG_BINS, _SHORT_BINS = LONG_BANDS * LONG_BAND, SHORT_BANDS * SHORT_BAND
 _HASHES = (1 << 58) - 1  # a line's hash has 58 bits, which leaves room for its frequency above them
-_BAND_BITS = [15, 15, 15, 14]  # bits of each bin of a band, in lanes of 16; all set in an empty bin
-_EMPTY = sum(((1 << b) - 1) << (16 * i) for i, b in enumerate(_BAND_BITS))  # a band of empty bins
-SHARES = 7  # numbers of 64 marks; each has an equal share of the hash range
+_LANES, _BITS = LONG_BAND, 12  # bins of a band in one number, bits of each; all set in an empty bin
+_EMPTY = (1 << (_LANES * _BITS)) - 1  # a band of empty bins
+SHARES = LONG_BANDS  # numbers of 64 marks; each has an equal share of the hash range
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -72,52 +77,54 @@ def _shingles(units: Column, make) -> Column:
     )
 
 
-def _distinct_shingles() -> Column:
-    """The number of different shingles of `line`.
-
-    Code points are UTF-16 units unless a line holds some beyond the basic plane; such a line is taken in hex.
-    """
-    plain = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    coded = F.regexp_extract_all(F.hex("units"), F.lit(f"(?=(.{{{4 * SHINGLE}}})).{{4}}"), F.lit(1))
-    shingles = F.when(F.octet_length("units") == 2 * F.char_length("line"), plain).otherwise(coded)
-    return F.greatest(F.size(F.array_distinct(shingles)), F.lit(1))
+def _seeded(seed: int):
+    return lambda own: F.xxhash64(own, F.lit(seed))
 
 
 def signed(lines: DataFrame) -> DataFrame:
     """One row per different line: hash, rank (frequency, then hash), size (different shingles), bands, marks.
 
-    `bands` holds 15 bits of the least hash of each bin, a band's four bins in one number. `marks` are
-    448 bits: each shingle sets one, in the number of its share of the hash range, so that two lines
-    differ in at least as many shingles as in marks.
+    `bands` holds 12 bits of the least hash of each bin, a band's bins in one number; the bands of the
+    family that a line has no part in are empty. `marks` are 1,152 parities: each different shingle flips
+    one, in the number of its share of the hash range, so that two lines differ in at least as many
+    shingles as in marks, however long they are.
 
     Shingles are rows; all rows of a line are in one task, so the shuffle carries lines only.
     """
     told = lines.select(_hash(F.col("line")).alias("hash"), "line").repartition("hash")
     equal = told.groupBy("hash", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("units", F.encode("line", "UTF-16BE"))
     often = F.shiftleft(F.least(F.floor(F.log2("n")), F.lit(31)).cast("bigint"), 58)
-    last = F.greatest(F.floor(F.octet_length("units") / 2).cast("int") - SHINGLE, F.lit(0))
-    begins = F.explode(F.sequence(F.lit(1), 2 * last + 1, F.lit(2))).alias("begin")
-    # Before the explode, or each shingle would evaluate it again.
-    sized = equal.select("hash", often.bitwiseOR(F.col("hash")).alias("rank"), _distinct_shingles().alias("size"), "units")
-    rows = sized.select("hash", "rank", "size", "units", begins)
-    rows = rows.select("hash", "rank", "size", F.xxhash64(F.substr("units", "begin", F.lit(2 * SHINGLE))).alias("own"))
+    rank = often.bitwiseOR(F.col("hash")).alias("rank")
+    sized = equal.select("hash", rank, F.array_distinct(_shingles(F.col("units"), lambda s: F.xxhash64(s))).alias("own"))
+    sized = sized.select("hash", "rank", F.size("own").alias("size"), "own")
+    again = [F.transform("own", _seeded(seed)) for seed in (1, 2)]
+    drawn = F.when(F.col("size") < LONG / SIMILARITY, F.concat("own", *again)).otherwise(F.col("own"))
+    # Drawn before the explode, which is compiled only without functions of arrays; an outer explode, as the
+    # plain one would infer filters that hash every shingle again.
+    rows = sized.select("hash", "rank", "size", drawn.alias("own")).select("hash", "rank", "size", F.posexplode_outer("own").alias("at", "own"))
     # Bins cut the range of 64-bit hashes evenly.
-    bin_ = F.shiftright((F.shiftright("own", 32) + F.lit(1 << 31)) * _BINS, 32).cast("int")
-    rows = rows.withColumn("bin", bin_).select(
-        "hash", "rank", "size", F.floor(F.col("bin") / BAND_BINS).cast("int").alias("band"), (F.col("bin") % BAND_BINS).alias("lane"), "own"
+    place = F.shiftright("own", 32) + F.lit(1 << 31)
+    first = F.col("at") < F.col("size")
+    bin_ = F.shiftright(place * F.when(first, F.lit(_LONG_BINS)).otherwise(F.lit(_SHORT_BINS // 2)), 32).cast("int")
+    rows = rows.withColumn("first", first).withColumn("bin", bin_).select(
+        "hash", "rank", "size", "own", "first",
+        F.expr(f"IF(first, bin div {LONG_BAND}, {LONG_BANDS} + IF(at < 2 * size, 0, {SHORT_BANDS // 2}) + bin div {SHORT_BAND})")
+        .cast("int").alias("band"),
+        F.expr(f"bin % IF(first, {LONG_BAND}, {SHORT_BAND})").alias("lane"),
     )
     mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("own").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
     banded = rows.groupBy("hash", "rank", "size", "band").agg(
-        *[F.min(F.when(F.col("lane") == k, F.col("own"))).alias(f"least_{k}") for k in range(BAND_BINS)], F.bit_or(mark).alias("mark")
+        *[F.min(F.when(F.col("lane") == k, F.col("own"))).alias(f"least_{k}") for k in range(_LANES)],
+        F.bit_xor(F.when(F.col("first"), mark)).alias("mark"),
     )
     lanes = [
-        F.shiftleft(F.coalesce(F.col(f"least_{k}"), F.lit(-1)).bitwiseAND(F.lit((1 << b) - 1).cast("bigint")), 16 * k)
-        for k, b in enumerate(_BAND_BITS)
+        F.shiftleft(F.coalesce(F.col(f"least_{k}"), F.lit(-1)).bitwiseAND(F.lit((1 << _BITS) - 1).cast("bigint")), _BITS * k)
+        for k in range(_LANES)
     ]
     banded = banded.select("hash", "rank", "size", "band", "mark", reduce(Column.bitwiseOR, lanes).alias("value"))
-    values = [F.max(F.when(F.col("band") == b, F.col("value"))).alias(f"band_{b}") for b in range(BANDS)]
-    share = F.floor(F.col("band") * SHARES / BANDS)
-    marks = [F.bit_or(F.when(share == s, F.col("mark"))).alias(f"mark_{s}") for s in range(SHARES)]
+    asked = F.when(F.col("band") >= LONG_BANDS, True).otherwise(F.col("size") >= LONG)
+    values = [F.max(F.when((F.col("band") == b) & asked, F.col("value"))).alias(f"band_{b}") for b in range(BANDS)]
+    marks = [F.max(F.when(F.col("band") == s, F.col("mark"))).alias(f"mark_{s}") for s in range(SHARES)]
     whole = banded.groupBy("hash", "rank", "size").agg(*values, *marks)
     return whole.select(
         "hash", "rank", "size",
@@ -127,13 +134,20 @@ def signed(lines: DataFrame) -> DataFrame:
 
 
 def members(signatures: DataFrame) -> DataFrame:
-    """(band, hash, pivot): different lines of each bucket with several; the pivot is the most frequent."""
-    spread = signatures.select("rank", F.posexplode("bands").alias("at", "value")).filter(F.col("value") != _EMPTY)
+    """(band, hash, pivot, fits): different lines of each bucket with several; the pivot is the most frequent.
+
+    `fits` tells whether the sizes of line and pivot leave room for the threshold.
+    """
+    spread = signatures.select("rank", "size", F.posexplode("bands").alias("at", "value")).filter(F.col("value") != _EMPTY)
     # One shuffle serves the aggregate and the join.
-    spread = spread.select(F.xxhash64("at", "value").alias("band"), "rank").repartition("band")
-    buckets = spread.groupBy("band").agg(F.max("rank").alias("pivot"), F.min("rank").alias("low")).filter("low <> pivot")
+    spread = spread.select(F.xxhash64("at", "value").alias("band"), "rank", "size").repartition("band")
+    buckets = spread.groupBy("band").agg(
+        F.max("rank").alias("pivot"), F.min("rank").alias("low"), F.max_by("size", "rank").alias("size_pivot")
+    )
     bare = {c: F.col(c).bitwiseAND(F.lit(_HASHES)) for c in ("rank", "pivot")}
-    found = spread.join(buckets.drop("low"), "band").select("band", bare["rank"].alias("hash"), bare["pivot"].alias("pivot"))
+    found = spread.join(buckets.filter("low <> pivot").drop("low"), "band").select(
+        "band", bare["rank"].alias("hash"), bare["pivot"].alias("pivot"), _sizes_fit("size", "size_pivot").alias("fits")
+    )
     return written_alone(found, "line-members")
 
 
@@ -154,7 +168,7 @@ def unlinked_pairs(found: DataFrame, tied: DataFrame, facts: DataFrame | None =
         named = named.join(facts, "hash")
     # Sizes of a similar pair differ by a factor of 1 / SIMILARITY at most.
     named = named.filter("hash <> pivot").withColumn("class", F.floor(F.log("size") / math.log(1 / SIMILARITY)).cast("int"))
-    named = written_alone(named.drop("pivot"), "line-classes")
+    named = written_alone(named.drop("pivot", "fits"), "line-classes")
     sizes = named.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     side = {c: [F.col(c).alias(f"{c}_{x}") for x in "ab"] for c in ("hash", "component", "size", "marks")}
     hosts = named.join(sizes, ["band", "class"]).select(
@@ -178,7 +192,11 @@ def _possible() -> Column:
     """
     apart = reduce(Column.__add__, [F.bit_count(F.col("marks_a")[q].bitwiseXOR(F.col("marks_b")[q])) for q in range(SHARES)])
     room = apart * 9 <= F.col("size_a") + F.col("size_b")
-    return (F.least("size_a", "size_b") * 5 >= F.greatest("size_a", "size_b") * 4) & room
+    return _sizes_fit("size_a", "size_b") & room
+
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
 
 def links(lines: DataFrame) -> DataFrame:
@@ -188,7 +206,7 @@ def links(lines: DataFrame) -> DataFrame:
     facts = signatures.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "size", "marks")
     facts = written_alone(facts, "line-facts")
     forget(signatures)
-    first = found.filter("hash <> pivot").select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct()
+    first = found.filter("fits AND hash <> pivot").select(F.col("pivot").alias("a"), F.col("hash").alias("b")).distinct()
     for x in "ab":
         first = first.join(facts.select(F.col("hash").alias(x), F.col("size").alias(f"size_{x}"), F.col("marks").alias(f"marks_{x}")), x)
     near = _verified(lines, first.filter(_possible()).select("a", "b"))

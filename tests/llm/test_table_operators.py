@@ -203,6 +203,42 @@ def test_bounds_drop_no_similar_pair(spark):
     assert len(pairs) < len(sets) ** 2 / 8
 
 
+def test_long_unlike_lines_are_no_candidates(spark):
+    rng = random.Random(9)
+    made = ["".join(rng.choices("abcdefgh ", k=rng.randint(1400, 1600))) for _ in range(30)]
+    made = sorted({x.strip() for x in made + [x[:700] + "xyz" + x[700:] for x in made[:5]]})
+    rows = spark.createDataFrame([(x,) for x in made], "line string")
+    facts = lines.signed(rows).select("hash", "size", "marks").cache()
+    found = facts.selectExpr("7L AS band", "hash", "0L AS pivot")
+    nothing = spark.createDataFrame([], "node long, component long")
+    assert lines.unlinked_pairs(found, nothing, facts).count() == 5
+
+
+def test_unlike_short_lines_share_few_buckets(spark):
+    rng = random.Random(10)
+    made = {"".join(rng.choices("abcdefgh", k=32)) + " the end" for _ in range(200)}
+    signed = lines.signed(spark.createDataFrame([(x,) for x in sorted(made)], "line string"))
+    buckets = {}
+    for row in lines.members(signed).collect():
+        buckets.setdefault(row["band"], set()).add(row["hash"])
+    pairs = {(a, b) for held in buckets.values() for a in held for b in held if a < b}
+    assert len(pairs) < 0.02 * len(made) ** 2 / 2
+
+
+def test_lines_around_the_size_that_parts_the_bands(spark):
+    rng = random.Random(11)
+    made = []
+    for n in range(100, 200, 2):
+        base = "".join(rng.choices("abcdefghijklmnop", k=n))
+        at = rng.randrange(n - 12)
+        made += [base, base[:at] + base[at + rng.randint(1, 6) :], base + "".join(rng.choices("qrstuvw", k=n // 6))]
+    rows = list(enumerate(made))
+    gone = plain_lines(rows)
+    found = {r["doc_id"]: set(r["removed"]) for r in lines.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(gone) >= 90
+    assert {k: v for k, v in found.items() if v} == gone
+
+
 def test_intermediates_of_line_dedup_go(spark):
     rows = [(n, f"The quick brown fox number {n} jumps over the lazy dog and runs\nanother line of {n}") for n in range(12)]
     with storage.run_folder(spark) as folder:
