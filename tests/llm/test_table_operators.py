@@ -239,6 +239,48 @@ def test_lines_around_the_size_that_parts_the_bands(spark):
     assert {k: v for k, v in found.items() if v} == gone
 
 
+def test_buckets_are_cut_where_sizes_leave_no_room(spark):
+    sizes = {1: 100, 2: 90, 3: 300, 4: 310, 5: 1000}
+    rows = [(h, h, size, [7] + [None] * (lines.BANDS - 1)) for h, size in sizes.items()]
+    found = lines.members(spark.createDataFrame(rows, "hash long, rank long, size int, bands array<int>")).collect()
+    assert {(r["hash"], r["pivot"], r["n"]) for r in found} == {(1, 2, 2), (2, 2, 2), (3, 4, 2), (4, 4, 2)}
+    assert all(r["fits"] for r in found) and len({(r["band"], r["pivot"]) for r in found}) == 2
+
+
+@pytest.mark.parametrize("most", [None, 25])
+def test_pairs_of_a_bucket_in_blocks_and_in_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "BLOCK", 4)
+    sizes = {n: 40 + 3 * n for n in range(40)}
+    found = spark.createDataFrame([(7 + n % 2, n, -1, s) for n, s in sizes.items()], "band long, hash long, pivot long, size int")
+    facts = spark.createDataFrame([(n, s, [0] * lines.SHARES) for n, s in sizes.items()], "hash long, size int, marks array<long>")
+    tied = spark.createDataFrame([(n, 4) for n in range(4, 12)], "node long, component long")
+    pairs = lines.unlinked_pairs(found, tied, facts, most).collect()
+    expected = {
+        (a, b) for a in sizes for b in sizes
+        if a < b and (a - b) % 2 == 0 and 5 * sizes[a] >= 4 * sizes[b] and not (4 <= a and b < 12)
+    }
+    assert sorted(map(tuple, pairs)) == sorted(expected)
+
+
+def test_line_dedup_shuffles_lines_and_bands_in_parts(spark, monkeypatch):
+    stored = []
+    keep = lines.written_alone
+
+    def seen(frame, label):
+        out = keep(frame, label)
+        if label in ("line-signatures", "line-members"):
+            stored.append((label, [r["hash"] for r in out.select("hash").collect()]))
+        return out
+
+    monkeypatch.setattr(lines, "written_alone", seen)
+    some = spark.createDataFrame([(f"line {n} of {n * n} has words of its own and some of all",) for n in range(60)], "line string")
+    lines.links(some).collect()
+    parts = [held for label, held in stored if label == "line-signatures"]
+    assert len(parts) == lines.PARTS > 1 and all(parts)
+    assert sorted(h for held in parts for h in held) == sorted(r[0] for r in some.select(lines._hash(F.col("line"))).collect())
+    assert sum(label == "line-members" for label, _ in stored) == lines.PASSES > 1
+
+
 def test_intermediates_of_line_dedup_go(spark):
     rows = [(n, f"The quick brown fox number {n} jumps over the lazy dog and runs\nanother line of {n}") for n in range(12)]
     with storage.run_folder(spark) as folder:
