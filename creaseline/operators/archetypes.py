@@ -106,14 +106,15 @@ def archetype_check(career: DataFrame, labels: DataFrame) -> DataFrame:
     place = F.coalesce(*[F.when(F.col("name") == n, F.lit(p)) for n, p in order.items()], F.lit(len(CLAIMS)))
     means = means.withColumn("place", place)
     # One row per archetype by construction, so all of them fit in an array.
-    every = means.groupBy().agg(F.collect_list(F.struct("name", "place", "centre", *FEATURES)).alias("every"))
+    # A constant key would be folded away and leave a cross join, so the key is the width of the vectors.
+    every = means.groupBy(F.size("centre").alias("width")).agg(F.collect_list(F.struct("name", "place", "centre", *FEATURES)).alias("every"))
     apart = "aggregate(zip_with(z, m.centre, (x, y) -> (x - y) * (x - y)), 0D, (total, x) -> total + x)"
     own = "element_at(filter(every, m -> m.name = bowling_archetype), 1)"
     claims = " ".join(
         f"WHEN '{label}' THEN forall(every, m -> m.place < {order[label]} OR {own}.{feature[label]} <= m.{feature[label]} + 1e-6)"
         for label in order
     )
-    return rows.withColumn("one", F.lit(1)).join(F.broadcast(every.withColumn("one", F.lit(1))), "one").selectExpr(
+    return rows.withColumn("width", F.size("z")).join(F.broadcast(every), "width").selectExpr(
         "bowler",
         f"array_min(transform(every, m -> {apart})) + 1e-6 >= transform(filter(every, m -> m.name = bowling_archetype), m -> {apart})[0]"
         " AS nearest_is_own",
